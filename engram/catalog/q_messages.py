@@ -357,7 +357,7 @@ def rate_counter(spark, root):
     out = m.rate_counter(fx.messages_ev(spark, root), ["session_id"], ["message_id"], 86400, 3)
     return out.select(
         "message_id", F.col("n_in_window").cast("bigint").alias("n_in_window"), "allowed",
-        F.col("retry_after").cast("bigint").alias("retry_after"),
+        F.coalesce(F.col("retry_after").cast("bigint"), F.lit(0)).alias("retry_after"),
     )
 
 
@@ -366,7 +366,7 @@ WITH RECURSIVE {o.MESSAGES_EV}, {_gate_sql('messages', 'session_id', 86400 * 100
 w AS (SELECT m.*, (SELECT max(h.t) FROM heads h WHERE h.key = m.session_id AND h.t <= epoch_us(m.ts)) AS head FROM messages m),
 x AS (SELECT *, row_number() OVER (PARTITION BY session_id, head ORDER BY ts, message_id) AS n_in_window FROM w)
 SELECT message_id, n_in_window, n_in_window <= 3 AS allowed,
-  CASE WHEN n_in_window > 3 THEN CAST(ceil((head + 86400000000 - epoch_us(ts)) / 1000000.0) AS BIGINT) END AS retry_after FROM x"""
+  CASE WHEN n_in_window > 3 THEN CAST(ceil((head + 86400000000 - epoch_us(ts)) / 1000000.0) AS BIGINT) ELSE 0 END AS retry_after FROM x"""
 
 
 def _processed_conv(spark, root):

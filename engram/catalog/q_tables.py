@@ -289,13 +289,13 @@ new AS (SELECT p_name AS name, CASE WHEN p_size > 25 THEN p_brand END AS alias,
     CASE WHEN p_size > 40 THEN p_brand END AS context, coalesce(CASE WHEN p_size > 10 THEN p_size / 50.0::DOUBLE END, 0.5::DOUBLE) AS confidence, 0.0::DOUBLE AS w, p_partkey AS ord FROM part
   UNION ALL SELECT lower(p_type), NULL, 'size', CAST(p_size AS VARCHAR), NULL, 0.5::DOUBLE, 0.3::DOUBLE, p_partkey FROM part),
 a AS (SELECT name, k, arg_max(v, ord) AS v FROM new GROUP BY 1, 2 UNION ALL SELECT name, 'seed', 'yes' FROM seed),
-at AS (SELECT name, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS attributes FROM a GROUP BY 1),
+atts AS (SELECT name, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS attributes FROM a GROUP BY 1),
 f AS (SELECT name, arg_max(alias, ord) FILTER (alias IS NOT NULL) AS alias, arg_max(context, ord) FILTER (context IS NOT NULL) AS context,
   arg_max(confidence, ord) AS confidence, arg_max(w, ord) AS w FROM new GROUP BY 1)
 SELECT name, coalesce(alias, CASE WHEN name IN (SELECT name FROM seed) THEN 'old' END, '') AS aliases,
   coalesce(context, CASE WHEN name IN (SELECT name FROM seed) THEN 'from seed' END) AS context,
   CASE WHEN name IN (SELECT name FROM seed) THEN 'kept' END AS significance, round(confidence, 6) AS confidence, round(w, 6) AS emotional_weight,
-  'assumed' AS confidence_basis, attributes, TIMESTAMP '2001-09-01' AS last_modified FROM f JOIN at USING (name)"""
+  'assumed' AS confidence_basis, attributes, TIMESTAMP '2001-09-01' AS last_modified FROM f JOIN atts USING (name)"""
 
 
 def _persons(spark, root):
