@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.sources.tables import spread
+
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-09-01 00:00:00"
 DOCS_AS_OF = "2024-03-01 00:00:00"
@@ -28,7 +30,8 @@ IDENTITY = [
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    return spread(df) if name in ("documents", "events") else df
 
 
 def no_strings() -> Column:

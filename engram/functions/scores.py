@@ -39,14 +39,15 @@ def half_if_missing(value: Column) -> Column:
 def text_match(query_lower: Column, fields: list[Column]) -> Column:
     """.9 for the whole query inside a field, else .8 times the share of its words."""
     words = query_words(query_lower)
-    scores = []
-    for field in fields:
+
+    def score(field: Column) -> Column:
         low = F.lower(field)
-        share = F.size(F.filter(words, lambda w, low=low: low.contains(w))) / F.greatest(
-            F.size(words), F.lit(1)
-        )
+        matched = F.size(F.filter(words, lambda w: low.contains(w)))
+        share = matched / F.greatest(F.size(words), F.lit(1))
         phrase = F.when(low.contains(query_lower), 0.9).otherwise(0.0)
-        scores.append(F.when(F.length(field) > 0, F.greatest(phrase, share * 0.8)))
+        return F.when(F.length(field) > 0, F.greatest(phrase, share * 0.8))
+
+    scores = [score(f) for f in fields]
     if len(scores) == 1:
         return F.coalesce(scores[0], F.lit(0.0))
     return F.coalesce(F.greatest(*scores), F.lit(0.0))

@@ -40,6 +40,16 @@ def _anchors(terms: DataFrame, term: str, sizes: list[int]) -> DataFrame:
     )
 
 
+def term_stats(terms: DataFrame, term: str) -> list:
+    """Rows and characters per length class: at most seven rows."""
+    return (
+        terms.filter(F.length(term) > 0)
+        .groupBy(F.least(F.length(term), F.lit(LONG_GRAM)).alias("q"))
+        .agg(F.count("*").alias("n"), F.sum(F.length(term)).alias("chars"))
+        .collect()
+    )
+
+
 def contained_terms(
     texts: DataFrame,
     text: str,
@@ -47,6 +57,7 @@ def contained_terms(
     term: str,
     text_key: list[str],
     broadcast_terms: int = BROADCAST_TERMS,
+    stats: list | None = None,
 ) -> DataFrame:
     """Rows of ``texts`` paired with rows of ``terms`` where text contains term.
 
@@ -54,13 +65,10 @@ def contained_terms(
     size of the term side is checked: up to ``broadcast_terms`` rows
     the anchors are broadcast and texts never move; beyond, only (key, gram)
     pairs are shuffled and the few candidates fetch their text back by key.
+    ``stats`` may carry the ``term_stats`` of terms that are searched repeatedly.
     """
     terms = terms.filter(F.length(term) > 0)
-    kinds = (
-        terms.groupBy(F.least(F.length(term), F.lit(LONG_GRAM)).alias("q"))
-        .agg(F.count("*").alias("n"), F.sum(F.length(term)).alias("chars"))
-        .collect()
-    )
+    kinds = term_stats(terms, term) if stats is None else stats
     small = (
         sum(r["n"] for r in kinds) <= broadcast_terms
         and sum(r["chars"] for r in kinds) <= BROADCAST_CHARS

@@ -9,13 +9,12 @@ from engram.functions import lexicons as lx
 from engram.functions.scores import clamp
 from engram.functions.text import (
     any_of, ascii_regex, contains_any, count_char, count_contained, first_match, js_trim,
-    labels_where, matches, matches_any,
+    labels_where, matches, matches_any, no_strings,
 )
 from engram.operators.matching import alias_index, contained_terms, top_per
 from engram.operators.ordering import greedy_heads, running_index
 
 SEQ_CHUNK = 4096
-NO_NAMES = F.array().cast("array<string>")
 
 
 # --- column operators ---------------------------------------------------------
@@ -133,7 +132,7 @@ def core_dictionary(nodes: DataFrame, core: list = lx.CORE_ENTITIES) -> DataFram
     """Core entries first; a node sharing any spelling with the core is left out."""
     spellings = [n for names, _ in core for n in names]
     names = F.transform(
-        F.concat(F.array("name"), F.coalesce("aliases", NO_NAMES)), lambda n: F.lower(n)
+        F.concat(F.array("name"), F.coalesce("aliases", no_strings())), lambda n: F.lower(n)
     )
     known = nodes.filter(
         ~F.arrays_overlap(names, F.array(*[F.lit(s) for s in spellings]))
@@ -174,7 +173,7 @@ def with_entities(messages: DataFrame, mentions: DataFrame, key: list[str]) -> D
     """Attach the names as a sorted array; a message holds few of them."""
     grouped = mentions.groupBy(*key).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
     return messages.join(grouped, key, "left").withColumn(
-        "entities", F.coalesce("entities", NO_NAMES)
+        "entities", F.coalesce("entities", no_strings())
     )
 
 

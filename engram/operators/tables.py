@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.scores import timestamp
+from engram.functions.text import no_strings
 from engram.operators.matching import contained_terms
 
-NO_STRINGS = F.array().cast("array<string>")
 
 
 def _latest(col: str, order: str, keep: Column | None = None) -> Column:
@@ -71,7 +71,7 @@ def upsert_nodes(old: DataFrame, new: DataFrame, as_of, order: str = "batch_orde
         .withColumns(
             {
                 "id": F.coalesce("id", new_id),
-                "aliases": F.coalesce("n_aliases", "aliases", NO_STRINGS),
+                "aliases": F.coalesce("n_aliases", "aliases", no_strings()),
                 "attributes": F.map_concat(had, added),
                 "context": F.coalesce("n_context", "context"),
                 "significance": F.coalesce("n_significance", "significance"),
@@ -169,8 +169,8 @@ def create_episodes(new: DataFrame) -> DataFrame:
     """Fill the neutral defaults of a new episode row."""
     neutral = F.struct(F.lit(0.0).alias("valence"), F.lit(0.3).alias("arousal"), F.lit("neutral").alias("label"))
     defaults = {
-        "participants": NO_STRINGS,
-        "topics": NO_STRINGS,
+        "participants": no_strings(),
+        "topics": no_strings(),
         "arc": F.struct(neutral.alias("start"), F.lit("stable").alias("trajectory"), neutral.alias("end")),
         "peak": neutral,
         "resolution": neutral,

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.matching import top_per
@@ -53,7 +53,7 @@ def knn(
 ) -> DataFrame:
     """Top k items by cosine per query: (query_id, item_id, similarity, rank).
 
-    Exact. The query side is counted: up to ``query_block`` queries travel to
+    Exact. At most ``query_block`` + 1 queries are fetched to check their number: up to ``query_block`` queries travel to
     the tasks as one matrix and items never move; beyond, queries are cut into
     blocks and every block meets every chunk of items in its own group.
     """
@@ -64,9 +64,8 @@ def knn(
     )
     id_type = items.schema["item_id"].dataType.simpleString()
     schema = f"query_id bigint, item_id {id_type}, similarity double"
-    count = queries.count()
-    if count <= query_block:
-        rows = queries.collect()
+    rows = queries.limit(query_block + 1).collect()
+    if len(rows) <= query_block:
         ids = [r["query_id"] for r in rows]
         matrix = _unit([r["embedding"] for r in rows]) if rows else None
         shared = spark.sparkContext.broadcast((ids, matrix))
@@ -81,7 +80,7 @@ def knn(
 
         scored = items.mapInPandas(score, schema)
     else:
-        blocks = math.ceil(count / (query_block // 2))
+        blocks = math.ceil(queries.count() / (query_block // 2))
         chunks = max(1, math.ceil(items.count() / 50_000))
         left = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
             "_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
@@ -104,8 +103,6 @@ def knn(
         )
     order = [F.col("similarity").desc(), F.col("item_id")]
     best = top_per(scored, ["query_id"], order, k)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return best.withColumn("rank", rank)
 
