@@ -11,6 +11,7 @@ from engram.catalog.q_tables import _EXECUTED, _IDENTITY, _PROC_TRIGGERS, _execu
 from engram.catalog.registry import query
 from engram.functions import lexicons as lx
 from engram.operators import retrieval as r
+from engram.session import use_checkpoints
 from engram.sources import markdown as md
 
 AS_OF = fx.DOCS_AS_OF
@@ -231,10 +232,13 @@ SELECT query_id, id, round(s_text, 6) AS s_text, round(s_header, 6) AS s_header,
 
 
 def _tables(spark, root):
+    """The derived graph tables are stored once, as they are in real use."""
+    use_checkpoints(spark)
     return {
-        "nodes": fx.nodes(spark, root), "edges": fx.edges(spark, root), "episodes": fx.episodes_doc(spark, root),
-        "lessons": fx.lessons_bm(spark, root), "identity": fx.identity_rows(spark),
-        "procedures": _executed(spark, root), "sections": sections(spark, root),
+        "nodes": fx.nodes(spark, root).checkpoint(), "edges": fx.edges(spark, root).checkpoint(),
+        "episodes": fx.episodes_doc(spark, root), "lessons": fx.lessons_bm(spark, root),
+        "identity": fx.identity_rows(spark), "procedures": _executed(spark, root).checkpoint(),
+        "sections": sections(spark, root),
     }
 
 
