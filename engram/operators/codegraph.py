@@ -104,12 +104,14 @@ def snapshot_history(snapshots: DataFrame, n: int = 20) -> DataFrame:
 
 def snapshot_to_memory(snapshots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node rows, edge rows by name, episode rows) of each snapshot."""
-    s = snapshots
     big = F.filter("communities", lambda c: c["symbol_count"] >= 10)
-    ranked = F.slice(
-        F.sort_array(F.transform(big, lambda c: F.struct((-c["symbol_count"]).alias("o"), c["label"].alias("l"), c.alias("c")))), 1, 20
+    keyed = F.transform(
+        big, lambda c: F.struct((-c["symbol_count"]).alias("o"), c["label"].alias("l"), c.alias("c"))
     )
-    comm = s.select("repo_name", "stats", F.explode(F.transform(ranked, lambda r: r["c"])).alias("c"))
+    s = snapshots.withColumn("_ranked", F.slice(F.sort_array(keyed), 1, 20))
+    pairs = F.transform("_ranked", lambda r: F.struct(r["c"]["id"].alias("k"), r["c"]["label"].alias("v")))
+    s = s.withColumn("_names", F.map_from_entries(F.array_distinct(pairs)))
+    comm = s.select("repo_name", "stats", F.explode("_ranked.c").alias("c"))
     n, label = F.col("c.symbol_count"), F.col("c.label")
     scoped = F.concat(F.col("repo_name"), F.lit(":"), label)
     significance = F.when(n >= 100, "major_module").when(n >= 50, "significant_module").otherwise("minor_module")
@@ -136,12 +138,9 @@ def snapshot_to_memory(snapshots: DataFrame) -> tuple[DataFrame, DataFrame, Data
         scoped.alias("source"), F.col("repo_name").alias("target"), F.lit("part_of").alias("relationship"),
         F.lit("structural").alias("category"), (n / F.col("stats.total_symbols")).alias("strength"), F.lit(0.95).alias("confidence"),
     )
-    by_id = F.map_from_entries(
-        F.array_distinct(F.transform(ranked, lambda r: F.struct(r["c"]["id"].alias("k"), r["c"]["label"].alias("v"))))
-    )
-    rel = s.select("repo_name", by_id.alias("names"), F.explode("relations").alias("r"))
+    rel = s.select("repo_name", "_names", F.explode("relations").alias("r"))
     named = lambda c: F.concat(
-        F.col("repo_name"), F.lit(":"), F.coalesce(F.try_element_at("names", F.col(f"r.{c}")), F.col(f"r.{c}"))
+        F.col("repo_name"), F.lit(":"), F.coalesce(F.try_element_at("_names", F.col(f"r.{c}")), F.col(f"r.{c}"))
     )
     depends = rel.select(
         named("source").alias("source"), named("target").alias("target"), F.lit("depends_on").alias("relationship"),

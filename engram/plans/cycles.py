@@ -1,14 +1,34 @@
-"""Pipelines: maintenance suite, sleep cycles, consolidation, backfill."""
+"""Pipelines: maintenance suite, sleep cycles, consolidation, backfill.
+
+A stage takes the tables and returns new ones and counters. With a ``root``, the
+changed tables of every stage are written as a new version and read back, so
+lineage ends there and a failed run can go on from the last version. A stage
+that fails is noted and leaves the tables as they were.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.functions.scores import timestamp
+from engram.operators import consolidation as co
+from engram.operators import crosslinks, enrichment
 from engram.operators import maintenance as mt
+from engram.operators.tables import record_executions
+from engram.sources.tables import append_log, read_table, write_version
+
+Tables = dict[str, DataFrame]
+Stage = Callable[[Tables], tuple[Tables, dict[str, DataFrame]]]
+
 
+def _one(df: DataFrame) -> DataFrame:
+    return df.withColumn("_one", F.lit(1))
 
-def maintain(tables: dict[str, DataFrame], as_of) -> tuple[dict[str, DataFrame], DataFrame]:
+
+def maintain(tables: Tables, as_of) -> tuple[Tables, DataFrame]:
     """Duplicates, then the decay report, then the contradiction scan."""
     nodes, edges, persons = tables["nodes"], tables["edges"], tables["persons"]
     kept = mt.drop_orphans(nodes, edges, persons)
@@ -16,9 +36,228 @@ def maintain(tables: dict[str, DataFrame], as_of) -> tuple[dict[str, DataFrame],
     before = nodes.agg(F.count_if(F.col("type") == "person").alias("persons_before"))
     after = kept.agg(F.count_if(F.col("type") == "person").alias("persons_after"))
     report = mt.decay_report(kept, as_of).drop("avg_effective")
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    stats = one(before).join(one(after), "_one").join(one(report), "_one").drop("_one")
+    stats = _one(before).join(_one(after), "_one").join(_one(report), "_one").drop("_one")
     if "contradictions" in tables:
         scan = mt.scan_contradictions(tables["contradictions"])
-        stats = one(stats).join(one(scan), "_one").drop("_one")
+        stats = _one(stats).join(_one(scan), "_one").drop("_one")
     return {**tables, "nodes": kept, "edges": moved}, stats
+
+
+# --- stages ---------------------------------------------------------------------
+def enrich_stage(tables: Tables):
+    episodes, stats = enrichment.enrich(tables["episodes"], tables["nodes"])
+    return {**tables, "episodes": episodes}, {"enrich": stats}
+
+
+def reweight_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        edges = mt.reweight_edges(tables["edges"], tables["nodes"], as_of)
+        return {**tables, "edges": edges}, {}
+
+    return run
+
+
+def person_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        if "person_updates" not in tables:
+            return tables, {}
+        updates = tables["person_updates"]
+        persons = co.apply_person_updates(tables["persons"], updates, as_of)
+        hit = updates.select(F.lower("name").alias("n")).distinct().join(
+            tables["persons"].select(F.lower("name").alias("n")), "n", "left_semi"
+        )
+        return {**tables, "persons": persons}, {"person_model_updates": hit.agg(F.count("*").alias("person_model_updates"))}
+
+    return run
+
+
+def lesson_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        insights, lessons = tables["insights"], tables["lessons"]
+        matches = co.match_lessons(insights, lessons)
+        fresh = co.new_lessons(insights, matches, as_of)
+        known = co.reinforce_lessons(lessons, matches, as_of)
+        counts = {
+            "lessons_reinforced": matches.agg(F.count("*").alias("lessons_reinforced")),
+            "lessons_learned": fresh.agg(F.count("*").alias("lessons_learned")),
+        }
+        return {**tables, "lessons": known.unionByName(fresh, allowMissingColumns=True)}, counts
+
+    return run
+
+
+def affirm_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        identity = co.affirm_from_insights(tables["identity"], tables["insights"], as_of)
+        return {**tables, "identity": identity}, {}
+
+    return run
+
+
+def discover_stage(tables: Tables):
+    if "related_entities" not in tables["insights"].columns:
+        return tables, {}
+    found = co.discover_edges(tables["insights"], tables["nodes"], tables["edges"])
+    edges = tables["edges"].unionByName(found, allowMissingColumns=True)
+    return {**tables, "edges": edges}, {"new_relationships": found.agg(F.count("*").alias("new_relationships"))}
+
+
+def procedure_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        recent = co.recent_window(tables["episodes"], as_of)
+        strict = co.track_executions(tables["procedures"], recent)
+        once = record_executions(tables["procedures"], strict)
+        loose = co.track_executions(tables["procedures"], recent, strict=False)
+        return {**tables, "procedures": record_executions(once, loose)}, {
+            "procedures_tracked": loose.agg(F.count("*").alias("procedures_tracked"))
+        }
+
+    return run
+
+
+def cross_stage(tables: Tables):
+    return {**tables, "cross_edges": crosslinks.build_cross_edges(tables, tables.get("cross_edges"))}, {}
+
+
+def link_stage(tables: Tables):
+    pairs = enrichment.link_related(tables["episodes"], tables.get("episode_links"))
+    new = enrichment.symmetric_links(pairs)
+    old = tables.get("episode_links")
+    return {**tables, "episode_links": new if old is None else old.unionByName(new)}, {}
+
+
+def rollup_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        episodes = tables["episodes"]
+        if "consolidated_into" not in episodes.columns:
+            episodes = episodes.withColumn("consolidated_into", F.lit(None).cast("string"))
+        summary, marks = co.rollup_stale(episodes, as_of)
+        marked = (
+            episodes.join(marks.withColumnRenamed("consolidated_into", "_into"), "id", "left")
+            .withColumn("consolidated_into", F.coalesce("consolidated_into", "_into")).drop("_into")
+        )
+        row = summary.drop("rolled_up").withColumn("access_count", F.lit(0))
+        return {**tables, "episodes": marked.unionByName(row, allowMissingColumns=True)}, {
+            "memories_consolidated": summary.agg(F.coalesce(F.sum("rolled_up"), F.lit(0)).alias("memories_consolidated"))
+        }
+
+    return run
+
+
+def dedup_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        out, stats = maintain(tables, as_of)
+        return out, {"dedup": stats}
+
+    return run
+
+
+def infer_stage(tables: Tables):
+    pairs = mt.cooccurrence(tables["sections"], tables["nodes"], min_count=3)
+    found = mt.infer_edges(pairs, tables["nodes"], tables["edges"])
+    return {**tables, "edges": tables["edges"].unionByName(found, allowMissingColumns=True)}, {
+        "edges_inferred": found.agg(F.count("*").alias("edges_inferred"))
+    }
+
+
+def daily_rollup_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        rows, marks = co.rollup_daily(tables["episodes"], as_of)
+        return {**tables, "rollups": rows, "rollup_marks": marks}, {}
+
+    return run
+
+
+def session_end_stage(as_of) -> Stage:
+    def run(tables: Tables):
+        identity = co.affirm_from_episodes(tables["identity"], tables["episodes"], as_of)
+        persons = co.interactions_from_episodes(tables["persons"], tables["episodes"], as_of)
+        return {**tables, "identity": identity, "persons": persons}, {}
+
+    return run
+
+
+def entity_link_stage(tables: Tables):
+    return {**tables, "entity_links": enrichment.link_entities(tables["episodes"], tables["nodes"])}, {}
+
+
+def health_stage(tables: Tables):
+    return tables, {"health": co.health(tables, tables.get("contradictions"))}
+
+
+# --- cycles -------------------------------------------------------------------------
+def cycle_stages(kind: str, as_of) -> list[tuple[str, Stage]]:
+    session = [("enrich", enrich_stage), ("reweight", reweight_stage(as_of))]
+    nightly = session + [
+        ("persons", person_stage(as_of)), ("lessons", lesson_stage(as_of)), ("affirm", affirm_stage(as_of)),
+        ("discover", discover_stage), ("procedures", procedure_stage(as_of)), ("cross", cross_stage),
+        ("link", link_stage), ("rollup", rollup_stage(as_of)),
+    ]
+    weekly = nightly + [("dedup", dedup_stage(as_of)), ("reweight_again", reweight_stage(as_of))]
+    return {"session": session, "nightly": nightly, "weekly": weekly}[kind]
+
+
+def consolidation_stages(mode: str, as_of) -> list[tuple[str, Stage]]:
+    end = [("enrich", enrich_stage), ("session_end", session_end_stage(as_of))]
+    daily = end + [
+        ("link", link_stage), ("entity_links", entity_link_stage), ("rollup", daily_rollup_stage(as_of)), ("health", health_stage),
+    ]
+    weekly = daily + [("dedup", dedup_stage(as_of)), ("infer", infer_stage), ("audit", health_stage)]
+    return {"session_end": end, "daily": daily, "weekly": weekly}[mode]
+
+
+def backfill_stages(as_of) -> list[tuple[str, Stage]]:
+    return [
+        ("lessons", lesson_stage(as_of)), ("persons", person_stage(as_of)), ("discover", discover_stage), ("affirm", affirm_stage(as_of)),
+    ]
+
+
+def run_stages(
+    spark: SparkSession, stages: list[tuple[str, Stage]], tables: Tables, root: str | None = None, run_id: str = "run"
+) -> tuple[Tables, dict[str, dict]]:
+    """Run stages in order; counters are single rows, read when a stage is done."""
+    details: dict[str, dict] = {}
+    for number, (name, stage) in enumerate(stages):
+        try:
+            after, counters = stage(tables)
+            if root is not None:
+                for table in [t for t in after if after[t] is not tables.get(t)]:
+                    version = f"{run_id}-{number:02d}-{name}"
+                    write_version(after[table], root, table, version)
+                    after[table] = read_table(spark, root, table, version)
+            found: dict = {}
+            for row in counters.values():
+                found.update(row.first().asDict())
+            details[name] = found
+            tables = after
+        except Exception as error:  # noqa: BLE001 - a failed stage is noted, later ones still run
+            details[name] = {"error": str(error)[:500]}
+    return tables, details
+
+
+def run_cycle(spark: SparkSession, tables: Tables, kind: str, as_of, root: str | None = None) -> tuple[Tables, dict]:
+    """Session, nightly or weekly cycle; with a root its log row is appended."""
+    after, details = run_stages(spark, cycle_stages(kind, as_of), tables, root, kind)
+    _log(spark, details, kind, as_of, root)
+    return after, details
+
+
+def consolidate(spark: SparkSession, tables: Tables, mode: str, as_of, root: str | None = None) -> tuple[Tables, dict]:
+    after, details = run_stages(spark, consolidation_stages(mode, as_of), tables, root, mode)
+    _log(spark, details, mode, as_of, root)
+    return after, details
+
+
+def run_backfill(spark: SparkSession, tables: Tables, as_of, root: str | None = None) -> tuple[Tables, dict]:
+    after, details = run_stages(spark, backfill_stages(as_of), tables, root, "backfill")
+    _log(spark, details, "backfill", as_of, root)
+    return after, details
+
+
+def _log(spark: SparkSession, details: dict, mode: str, as_of, root: str | None) -> None:
+    if root is None:
+        return
+    import json
+
+    row = spark.createDataFrame([(mode, json.dumps(details, default=str, sort_keys=True))], "mode string, details string")
+    append_log(row.withColumn("run_at", timestamp(as_of)), root)
