@@ -63,7 +63,9 @@ def greedy_heads(
     """
     spark = df.sparkSession
     gap = F.lit(interval)
-    times = df.select(*keys, F.col(micros).alias("t")).distinct()
+    use_checkpoints(spark)
+    # narrow and read by several steps below, so it is computed once
+    times = df.select(*keys, F.col(micros).alias("t")).distinct().checkpoint()
     times = times.withColumn("_c", F.floor(F.col("t") / F.lit(chunk)))
     inside = Window.partitionBy(*keys, "_c").orderBy("t")
     by_chunk = Window.partitionBy(*keys).orderBy("_c")
@@ -96,7 +98,7 @@ def greedy_heads(
         .drop("_break", "_carry")
     )
     sizes = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_size"))
-    sized = runs.join(sizes, [*keys, "_run"])
+    sized = runs.join(sizes, [*keys, "_run"]).checkpoint()
 
     def heads_of(blocks: DataFrame) -> DataFrame:
         return blocks.select(*keys, F.explode("_fold.heads").alias("t"))
@@ -112,7 +114,6 @@ def greedy_heads(
     if long_rows.limit(1).count() == 0:
         return heads
 
-    use_checkpoints(spark)
     group = [*keys, "_run", "_c"]
     in_run = Window.partitionBy(*keys, "_run").orderBy("_c")
     blocks = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +12,12 @@ from engram.functions import lexicons as lx
 from engram.functions.scores import effective_confidence, half_if_missing, recency, text_match
 from engram.functions.text import contains_any, first_match, labels_where, matches, no_strings, query_words
 from engram.operators.graph import neighbors_of_type, undirected
-from engram.operators.matching import alias_index, contained_terms, grams, term_stats, top_per
+from engram.operators.matching import BROADCAST_TERMS, alias_index, contained_terms, grams, term_stats, top_per
 from engram.operators.vectors import knn
 from engram.session import use_checkpoints
 
 MAX_NAME_LENGTHS = 256
+MAX_VOCABULARY = 2000
 HIT_COLUMNS = [
     "query_id", "memory_type", "id", "name", "type", "content", "text_match", "graph_proximity",
     "importance", "recency", "confidence", "stated", "execution_count", "success_rate", "found",
@@ -124,23 +126,39 @@ def words_of(queries: DataFrame) -> DataFrame:
 
 
 class Words:
-    """The query words and, measured once, how many there are."""
+    """The query words and, measured once, how many there are.
+
+    ``table`` lists the distinct words with their queries when both are few.
+    """
 
     def __init__(self, queries: DataFrame) -> None:
         self.rows = words_of(queries)
+        self.lows = queries.select("query_id", F.lower("text").alias("query_low"))
         self.stats = term_stats(self.rows, "word")
+        self.table = None
+        if sum(r["n"] for r in self.stats) <= BROADCAST_TERMS:
+            per_word = self.rows.groupBy("word").agg(F.collect_set("query_id").alias("ids"))
+            few = per_word.limit(MAX_VOCABULARY + 1).collect()
+            if len(few) <= MAX_VOCABULARY:
+                self.table = json.dumps([{"w": r["word"], "q": sorted(r["ids"])} for r in few])
 
 
 def keyword_hits(rows: DataFrame, searched: Column, words: Words, keep: list[str]) -> DataFrame:
-    """(query_id, query_low, keep...) for rows whose text holds any query word.
+    """(query_id, keep...) for rows whose text holds any query word, each pair once.
 
-    A pair is emitted for its first matching word only, so it is unique
-    without a shuffle.
+    With a small vocabulary every text is scanned once for all words and turned
+    into its distinct queries inside the row. Otherwise the containment join
+    emits a pair for the first matching word only. Neither shuffles the texts.
     """
     texts = rows.select(*keep, searched.alias("_text"))
+    if words.table is not None:
+        table = F.from_json(F.lit(words.table), "array<struct<w:string,q:array<bigint>>>")
+        found = F.filter(table, lambda s: F.col("_text").contains(s["w"]))
+        ids = F.array_distinct(F.flatten(F.transform(found, lambda s: s["q"])))
+        return texts.select(*keep, F.explode(ids).alias("query_id"))
     hits = contained_terms(texts, "_text", words.rows, "word", ["id"], stats=words.stats)
     first = F.element_at(F.filter("words", lambda w: F.col("_text").contains(w)), 1)
-    return hits.filter(F.col("word") == first).select("query_id", "query_low", *keep)
+    return hits.filter(F.col("word") == first).select("query_id", *keep)
 
 
 # --- content ---------------------------------------------------------------------------
@@ -279,7 +297,7 @@ def search_lessons(words: Words, lessons: DataFrame, as_of, limit: int) -> DataF
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "important", 1).otherwise(2)
     keep = [c for c in ["id", "statement", "prevention_rule", "severity", "times_reinforced", "created_at"]]
     order = [rank, F.col("times_reinforced").desc(), F.col("id")]
-    found = top_per(keyword_hits(lessons, searched, words, keep), ["query_id"], order, limit)
+    found = top_per(keyword_hits(lessons, searched, words, keep), ["query_id"], order, limit).join(words.lows, "query_id")
     return _hit(
         found, "lesson", 2, F.lit(0), content=lesson_content(),
         text_match=text_match(F.col("query_low"), [F.col("statement"), F.col("prevention_rule")]),
@@ -291,7 +309,9 @@ def search_lessons(words: Words, lessons: DataFrame, as_of, limit: int) -> DataF
 
 def search_identity(words: Words, identity: DataFrame) -> DataFrame:
     searched = F.lower(F.concat_ws("\u0001", "key", "value", "category"))
-    found = keyword_hits(identity, searched, words, ["id", "key", "value", "category", "times_affirmed"])
+    found = keyword_hits(identity, searched, words, ["id", "key", "value", "category", "times_affirmed"]).join(
+        words.lows, "query_id"
+    )
     return _hit(
         found, "identity", 3, F.lit(0), content=identity_content(),
         text_match=text_match(F.col("query_low"), [F.col("key"), F.col("value")]),
@@ -309,7 +329,7 @@ def search_procedures(words: Words, procedures: DataFrame, as_of, limit: int) ->
     )
     keep = ["id", "name", "type", "steps", "confidence", "execution_count", "success_count", "last_executed"]
     order = [F.col("confidence").desc(), F.col("id")]
-    found = top_per(keyword_hits(procedures, searched, words, keep), ["query_id"], order, limit)
+    found = top_per(keyword_hits(procedures, searched, words, keep), ["query_id"], order, limit).join(words.lows, "query_id")
     ran = F.col("execution_count") > 0
     return _hit(
         found, "procedure", 4, F.lit(0), name=F.col("name"), type=F.col("type"), content=procedure_content(),
@@ -359,23 +379,23 @@ def section_text_score() -> Column:
     return F.least(F.lit(1.0), near + in_head * 0.05)
 
 
-def search_sections(queries: DataFrame, sections: DataFrame, as_of, limit: int, min_score: float = 0.15) -> DataFrame:
+def search_sections(
+    queries: DataFrame, sections: DataFrame, as_of, limit: int, min_score: float = 0.15, words: Words | None = None
+) -> DataFrame:
     """Best sections per query, columns s_text, s_header, s_priority, s_recency, s_total.
 
     A section without any query word scores only its base, which is the same for
     all queries, so the ``limit`` best bases stand for all such sections.
     """
     prepared = section_scores(sections, as_of)
-    words = query_words(F.lower("text"))
-    asked = queries.select("query_id", F.lower("text").alias("query_low"), words.alias("words"))
-    terms = asked.withColumn(
-        "word", F.explode(F.when(F.size("words") == 0, F.array("query_low")).otherwise(F.array_distinct("words")))
-    )
-    hits = contained_terms(prepared, "_low", terms, "word", ["id"])
-    first = F.coalesce(
-        F.try_element_at(F.filter("words", lambda w: F.col("_low").contains(w)), F.lit(1)), F.col("query_low")
-    )
-    matched = hits.filter(F.col("word") == first).drop("word")
+    words = Words(queries) if words is None else words
+    asked = queries.select("query_id", F.lower("text").alias("query_low"), query_words(F.lower("text")).alias("words"))
+    found = keyword_hits(prepared, F.col("_low"), words, prepared.columns)
+    matched = found.join(asked, "query_id")
+    wordless = asked.filter(F.size("words") == 0)
+    if wordless.limit(1).count() > 0:
+        phrase = contained_terms(prepared, "_low", wordless, "query_low", ["id"])
+        matched = matched.unionByName(phrase)
     best = [
         r["id"]
         for r in prepared.orderBy(F.col("_base").desc(), "id").limit(limit).select("id").collect()
@@ -397,8 +417,8 @@ def search_sections(queries: DataFrame, sections: DataFrame, as_of, limit: int,
     return top_per(kept, ["query_id"], [F.round("s_total", 9).desc(), F.col("id")], limit).drop("_low", "_base")
 
 
-def section_hits(queries: DataFrame, sections: DataFrame, as_of, limit: int) -> DataFrame:
-    found = search_sections(queries, sections, as_of, 2 * limit)
+def section_hits(queries: DataFrame, words: Words, sections: DataFrame, as_of, limit: int) -> DataFrame:
+    found = search_sections(queries, sections, as_of, 2 * limit, words=words)
     return _hit(
         found, "markdown", 5, F.lit(0), name=F.col("heading"), type=F.col("path"), content=section_content(),
         text_match=F.col("s_text"), importance=F.col("s_priority"), confidence=F.col("s_priority"),
@@ -548,7 +568,7 @@ def candidate_hits(
     if wants("procedure", "procedures"):
         parts.append(search_procedures(words, tables["procedures"], as_of, limit))
     if wants("markdown", "sections"):
-        parts.append(section_hits(queries, tables["sections"], as_of, limit))
+        parts.append(section_hits(queries, words, tables["sections"], as_of, limit))
     hits = reduce(lambda a, b: a.unionByName(b), parts)
     if wants("semantic", "nodes", "edges"):
         boosts = routing_boosts(queries, tables["nodes"], tables["edges"])
