@@ -38,8 +38,9 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def messages_ev(spark: SparkSession, root: str) -> DataFrame:
-    ev = table(spark, root, "events")
+def messages_ev(spark: SparkSession, root: str, events: DataFrame | None = None) -> DataFrame:
+    """Every event as a templated message; ``events`` may be a stream of the same rows."""
+    ev = table(spark, root, "events") if events is None else events
     k = F.get_json_object("props", "$.k").cast("bigint").cast("string")
     price = F.format_string("%.2f", F.col("value"))
     user = F.col("user_id").cast("string")
