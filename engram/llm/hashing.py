@@ -45,11 +45,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def _hash_words(data: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_words(data: bytes, codes: np.ndarray, separator: np.ndarray = _is_separator) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first byte positions of the words in ``data``."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~_is_separator[raw]
+    inside[1:-1] = ~separator[raw]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _tables(len(raw) + 1)
@@ -59,8 +59,15 @@ def _hash_words(data: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix(values + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(texts, lower_ascii: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """All word hashes of ``texts`` in order, and offsets (one more than texts)."""
+#: ASCII bytes other than letters and digits
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(texts, lower_ascii: bool = True, separator: np.ndarray = _is_separator) -> tuple[np.ndarray, np.ndarray]:
+    """All word hashes of ``texts`` in order, and offsets (one more than texts).
+
+    ``separator`` marks the bytes that end a word; it must include the space.
+    """
     codes = _codes_lower if lower_ascii else _codes
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts), dtype=np.int64)
@@ -70,7 +77,7 @@ def word_hashes(texts, lower_ascii: bool = True) -> tuple[np.ndarray, np.ndarray
     def flush(upto: int) -> None:
         nonlocal held, first, size
         if held:
-            words, starts = _hash_words(b" ".join(held), codes)
+            words, starts = _hash_words(b" ".join(held), codes, separator)
             lengths = np.fromiter((len(t) + 1 for t in held), np.int64, len(held))
             bounds = np.concatenate(([0], np.cumsum(lengths)))
             counts[first:upto] += np.diff(np.searchsorted(starts, bounds))
@@ -88,9 +95,9 @@ def word_hashes(texts, lower_ascii: bool = True) -> tuple[np.ndarray, np.ndarray
         at = 0
         while at < len(data):
             end = min(at + PIECE, len(data))
-            while end < len(data) and data[end] not in SEPARATORS:
+            while end < len(data) and not separator[data[end]]:
                 end += 1
-            words, _ = _hash_words(data[at:end], codes)
+            words, _ = _hash_words(data[at:end], codes, separator)
             hashes.append(words)
             counts[i] += len(words)
             at = end

@@ -56,3 +56,17 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_filters")
+def op8_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op10_bm25_leaks")
+def op10_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
