@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +71,33 @@ def op10_bm25_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.decontamination import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _in_order(spans, kinds):
+    """Spans by kind as listed, then start."""
+    rank = lambda kind: F.array_position(F.array(*map(F.lit, kinds)), kind)
+    keyed = F.transform(spans, lambda s: F.struct(rank(s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.array_sort(keyed)
+
+
+@query("op1_crf_personal_data")
+def op1_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(_in_order(F.col("base"), KINDS)), 256).alias("base_sha256"),
+        _joined(_in_order(F.concat("base", "added"), KINDS)).alias("spans"), F.size("added").cast("bigint").alias("n_added"),
+    )
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.byte_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
