@@ -101,3 +101,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.byte_bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+@query("op7_gear_chunks")
+def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op2_cap_filters")
+def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.cap_filters import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
