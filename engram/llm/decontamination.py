@@ -190,8 +190,10 @@ def find_leaks(
         names = ["doc_id", "item_id", "score", "question_share", "answer_share"]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
-            found = list(shared.value.search(batch.column("text").to_pylist(), overlap))
-            ids = batch.column("doc_id").to_pylist()
+            ids, found = batch.column("doc_id").to_pylist(), []
+            for lo in range(0, len(ids), 500):
+                texts = batch.column("text").slice(lo, 500).to_pylist()
+                found += [(lo + f[0], *f[1:]) for f in shared.value.search(texts, overlap)]
             columns = [[ids[f[0]] for f in found], *([f[k] for f in found] for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
