@@ -115,3 +115,15 @@ def op2_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.cap_filters import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_random_secrets")
+def op3_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.secrets import KINDS, find_secrets, in_order
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in KINDS[:3]]
+    return found.select(
+        "doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(in_order(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"),
+    )
