@@ -127,3 +127,17 @@ def op3_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(in_order(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_added"),
     )
+
+
+@query("op4_factorization_machine")
+def op4_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_block_labeller")
+def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
