@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.carry import carried, carry, with_kept
 from engram.llm.hashing import PUNCTUATED, sequence_hashes, word_hashes
 
 THRESHOLD = 0.6
@@ -34,6 +35,7 @@ OVERLAP = 0.6
 K1, B = 1.2, 0.75
 BLOCK = 8
 MAX_ITEMS = 200_000  # the index travels to every task; more items are handled by calling in slices
+SLICE = 500  # texts handled at a time
 _FILTER = 1 << 20
 
 
@@ -171,6 +173,21 @@ class Index:
         return max(float(np.isin(side, g).mean()) for g in grams.values())
 
 
+def _shared_index(benchmark: DataFrame, threshold: float):
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null").orderBy("item_id", "text").limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} items: search the benchmark in slices")
+    return benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], threshold))
+
+
+def _search(shared, batch: pa.RecordBatch, overlap: float) -> list[tuple]:
+    """(row of the batch, item id, score, question share, answer share) of all finds."""
+    found = []
+    for lo in range(0, batch.num_rows, SLICE):
+        found += [(lo + f[0], *f[1:]) for f in shared.value.search(batch.column("text").slice(lo, SLICE).to_pylist(), overlap)]
+    return found
+
+
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -179,23 +196,34 @@ def find_leaks(
     One row per document and item: its best window, where score is the BM25 score
     as a share of the item's own. Null and empty texts and items match nothing; a
     one-word item has no answer, which then counts as found. Equal items each match. Rows with the same id
-    are searched each on their own. At most MAX_ITEMS items, which bounds the index.
+    are searched each on their own. Other columns are ignored. At most MAX_ITEMS items, which bounds the index.
     """
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null").orderBy("item_id", "text").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items: search the benchmark in slices")
-    shared = documents.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], threshold))
+    shared = _shared_index(benchmark, threshold)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "score", "question_share", "answer_share"]
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         for batch in batches:
-            ids, found = batch.column("doc_id").to_pylist(), []
-            for lo in range(0, len(ids), 500):
-                texts = batch.column("text").slice(lo, 500).to_pylist()
-                found += [(lo + f[0], *f[1:]) for f in shared.value.search(texts, overlap)]
+            ids, found = batch.column("doc_id").to_pylist(), _search(shared, batch, overlap)
             columns = [[ids[f[0]] for f in found], *([f[k] for f in found] for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     return docs.mapInArrow(search, "doc_id bigint, item_id bigint, score double, question_share double, answer_share double")
+
+
+def count_leaks(
+    documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """(doc_id, n_items) per row of ``documents``: how many items it contains, 0 for most; and the columns named in ``keep``."""
+    shared = _shared_index(benchmark, threshold)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.bincount([f[0] for f in _search(shared, batch, overlap)] or np.zeros(0, np.int64), minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts[: batch.num_rows], pa.int64()), *carried(batch)], names=["doc_id", "n_items", *(["kept"] if keep else [])]
+            )
+
+    docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *carry(keep))
+    return with_kept(docs, search, "doc_id bigint, n_items bigint", keep)

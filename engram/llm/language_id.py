@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.carry import carried, carry, with_kept
 from engram.llm.hashing import mix
 
 PER_LANGUAGE = 2000  # about so many labelled documents of a language fit the filters
@@ -175,16 +176,16 @@ def fit_filters(labelled: DataFrame, per_language: int = PER_LANGUAGE, min_share
 
 
 def identify_languages(
-    documents: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    documents: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None
 ) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) per row of ``documents``.
+    """(doc_id, held_out, lang_pred, score) per row of ``documents``, and the columns named in ``keep``.
 
     The filters are fitted on ``labelled`` (default: the documents), without the
     held-out rows and those with a null language or text. Null texts and texts
     without a letter are ``und`` with score 0, as is every text when nothing could
     be learned. A text without any known n-gram gets the first language by name
     and score 0; equal counts go to the first by name. Repeated rows are rows of their own;
-    other columns are ignored.
+    other columns are ignored. A column in ``keep`` replaces a result column of its name.
     """
     source = documents if labelled is None else labelled
     train = source.filter(~held_out(id_col)).select(
@@ -196,11 +197,11 @@ def identify_languages(
         for batch in batches:
             names, scores = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *carried(batch)],
+                names=["doc_id", "held_out", "lang_pred", "score", *(["kept"] if keep else [])],
             )
 
     rows = documents.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
+        F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *carry(keep)
     )
-    return rows.mapInArrow(predict, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return with_kept(rows, predict, "doc_id bigint, held_out boolean, lang_pred string, score double", keep)

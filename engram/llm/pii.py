@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.llm.carry import carry, with_kept
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 FEATURES = 1 << 13
@@ -328,10 +330,12 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def find_personal_data(
-    documents: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", redact: bool = False
+    documents: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, keep: list[str] | None = None
 ) -> DataFrame:
     """(doc_id, base, added): spans of personal data per row; with ``redact`` also the text without them, as redacted.
 
+    The columns named in ``keep`` are carried along and replace result columns of their name.
+
     base and added are arrays of (kind, start, end) in code points, end exclusive,
     by kind (email, ip, card, phone) and start. Base spans are all matches of the
     base patterns; added spans come from the field and touch no base span.
@@ -355,9 +359,10 @@ def find_personal_data(
             columns = {"doc_id": batch.column("doc_id"), "base": pa.array(as_rows(base), span), "added": pa.array(as_rows(added), span)}
             if redact:
                 columns["redacted"] = pa.array([redacted(t, b + a) for t, b, a in zip(texts, base, added, strict=True)], pa.string())
+            if keep:
+                columns["kept"] = batch.column("kept")
             yield pa.RecordBatch.from_pydict(columns)
 
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id bigint, base {spans}, added {spans}" + ", redacted string" * redact
-    )
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *carry(keep))
+    return with_kept(rows, run, f"doc_id bigint, base {spans}, added {spans}" + ", redacted string" * redact, keep)

@@ -9,6 +9,7 @@ that was written before.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return str(spark.sparkContext.getCheckpointDir())
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Named tables under one fresh folder; ``drop`` deletes those no longer read."""
 
@@ -38,6 +44,10 @@ class Scratch:
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Lets go of the shuffle files of finished steps: Spark deletes them when the driver collects garbage."""
+        free_shuffles(self.spark)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.root}/{name}")

@@ -28,6 +28,8 @@ AVERAGE = 32
 WINDOW = 16
 MIN_WORDS = 50
 MIN_CORE = 8
+STRETCH = 512  # bytes without a cut after which the least hash of the stretch makes them
+LONGEST = 1 << 24  # bytes without a cut after which one is made
 
 _gear = np.random.default_rng(41).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -39,10 +41,18 @@ def cut_positions(raw: np.ndarray, average: int = AVERAGE) -> np.ndarray:
         step = h.copy()
         step[k:] += h[:-k] << np.uint16(k)
         h = step
-    cut = h < np.uint16((1 << 16) // average)
-    cut[: WINDOW - 1] = False
-    cut[1:] &= raw[1:] != raw[:-1]  # a run of one byte is not cut up
-    at = np.flatnonzero(cut) + 1
+    may = np.ones(len(raw), dtype=bool)
+    may[: WINDOW - 1] = False
+    may[1:] &= raw[1:] != raw[:-1]  # a run of one byte is not cut up
+    at = np.flatnonzero(may & (h < np.uint16((1 << 16) // average)))
+    # text that goes round in a circle may have no such place: it is cut where the hash is least
+    ends = np.concatenate(([0], at, [len(raw)]))
+    for k in np.flatnonzero(np.diff(ends) > STRETCH):
+        own = np.arange(ends[k] + 1, ends[k + 1])
+        own = own[may[own]]
+        if len(own):
+            at = np.concatenate((at, own[h[own] == h[own].min()]))
+    at = np.sort(at) + 1
     at = at[at < len(raw)]
     for _ in range(3):
         at = at + ((raw[np.minimum(at, len(raw) - 1)] & 0xC0) == 0x80)
@@ -65,12 +75,17 @@ def _chunks_of(data: bytes, average: int):
             cuts = cut_positions(raw, average) - lead
             cuts = cuts[cuts > 0]
             final = at + size >= len(data)
-            if final or len(cuts):
+            if final or len(cuts) or size >= LONGEST:
                 break
             size *= 2
         raw = raw[lead:]
         if final:
             cuts = np.concatenate((cuts, [len(raw)]))
+        elif not len(cuts):
+            end = len(raw)
+            while raw[end - 1] & 0xC0 == 0x80:
+                end -= 1
+            cuts = np.array([end - 1])
         raw = raw[: cuts[-1]]
         start = np.concatenate(([0], cuts[:-1]))
         up, down = hashing._tables(len(raw) + 1)
@@ -88,7 +103,12 @@ def _chunks_of(data: bytes, average: int):
 
 
 def _chunk_table(average: int):
-    names = ["doc_id", "no", "start", "end", "words", "beside", "digest"]
+    """Rows (doc_id, place, shape, digest), few and narrow columns since there is one row per chunk.
+
+    place has the number of the chunk and its start, shape its size (code points), its words
+    and those of the chunks before and after it.
+    """
+    names = ["doc_id", "place", "shape", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,12 +125,10 @@ def _chunk_table(average: int):
                     continue
                 parts = list(_chunks_of(text.encode("utf-8", "surrogatepass"), average))
                 start, end, words, digest = (np.concatenate(c) for c in zip(*parts, strict=True))
-                beside = np.zeros(len(words), dtype=np.int64)
-                beside[1:] = words[:-1]
-                after = np.zeros(len(words), dtype=np.int64)
-                after[:-1] = words[1:]
-                both = (beside << 32) | after
-                held.append((np.arange(len(words), dtype=np.int32), start, end, words.astype(np.int32), both, digest))
+                beside = np.minimum(words, 1023)
+                before, after = np.concatenate(([0], beside[:-1])), np.concatenate((beside[1:], [0]))
+                shape = ((end - start) << 36) | (np.minimum(words, 65535) << 20) | (before << 10) | after
+                held.append(((np.arange(len(words)) << 32) | start, shape, digest))
                 ids.append(doc_id)
                 size += len(words)
                 if size >= 200_000:
@@ -131,31 +149,27 @@ def repeated_passages(
     count of its rarest chunk, first_doc_id the smallest id with that chunk and
     is_first whether this is the first occurrence of all its chunks: what to drop for one
     copy of everything are the rows where it is false. Passages within one document count too.
-    Null and empty texts have none. Rows that repeat with one id are several
-    occurrences; a null id takes part and comes first. Other columns are ignored.
+    Null and empty texts have none. Rows with one id are read as parts of one document, and a row that repeats as a whole counts in occurrences
+but is no passage of its own; a null id takes part and comes first. Other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession, "chunks")
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = scratch.keep(
-        docs.filter("text is not null").mapInArrow(
-            _chunk_table(average), "doc_id bigint, no int, start bigint, end bigint, words int, beside bigint, digest bigint"
-        ), "chunks",
-    )
-    size = (F.col("end") - F.col("start")).alias("size")
-    shared = (
-        chunks.groupBy("digest", size).agg(F.count("*").alias("occurrences"), F.min(F.struct("doc_id", "start")).alias("first"))
-        .filter("occurrences > 1")
+        docs.filter("text is not null").mapInArrow(_chunk_table(average), "doc_id bigint, place bigint, shape bigint, digest bigint"), "chunks"
     )
-    found = chunks.withColumn("size", F.col("end") - F.col("start")).join(shared, ["digest", "size"]).select(
-        "doc_id", "no", "start", "end", "words", "beside", "occurrences", F.col("first.doc_id").alias("first_doc_id"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("is_first"),
-    ).dropDuplicates(["doc_id", "no", "start"])
-    run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
-    before, after = F.shiftright("beside", 32), F.col("beside").bitwiseAND(F.lit((1 << 32) - 1))
-    passages = found.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("occurrences").alias("occurrences"),
-        F.min_by("first_doc_id", "occurrences").alias("first_doc_id"), F.min("is_first").alias("is_first"),
-        (F.min_by(before, "no") + F.max_by(after, "no")).alias("more"),
+    shared = chunks.groupBy("digest").agg(F.count("*").alias("occurrences"), F.min(F.struct("doc_id", "place")).alias("first")).filter("occurrences > 1")
+    found = chunks.join(shared, "digest").select("doc_id", "place", "shape", "occurrences", "first")
+    of_doc = Window.partitionBy("doc_id").orderBy("place")
+    bits = lambda shift, count: F.shiftright("shape", shift).bitwiseAND(F.lit((1 << count) - 1))
+    no, start = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    passages = (
+        found.withColumn("again", F.col("place").eqNullSafe(F.lag("place").over(of_doc))).filter("not again")
+        .withColumn("run", no - F.dense_rank().over(of_doc)).groupBy("doc_id", "run").agg(
+            F.min(start).alias("start"), F.max(start + F.shiftright("shape", 36)).alias("end"), F.sum(bits(20, 16)).alias("words"),
+            F.min("occurrences").alias("occurrences"), F.min_by("first.doc_id", "occurrences").alias("first_doc_id"),
+            F.min(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))).alias("is_first"),
+            (F.min_by(bits(10, 10), "place") + F.max_by(bits(0, 10), "place")).alias("more"),
+        )
     )
     result = scratch.keep(
         passages.filter((F.col("words") >= MIN_CORE) & (F.col("words") + F.col("more") >= min_words)).drop("run", "more"), "result"
