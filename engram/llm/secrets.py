@@ -7,7 +7,7 @@ symbol, and serial correlation of neighbouring symbols. The squares of the four
 to one statistic; a random string has a small one.
 
 Which values are small enough depends on how ordinary long words of like length score in
-the same corpus. Their statistics, counted in bins per length class, give each string a
+the same corpus. Their statistics, counted in bins per length class (with the shorter ones), give each string a
 p-value under "ordinary word", and the Benjamini-Hochberg rule in each class keeps the expected
 share of words among the reported strings below ``rate``.
 """
@@ -164,8 +164,11 @@ def randomness(strings: Column) -> Column:
 
 def random_limits(scored: DataFrame, rate: float) -> dict[int, int]:
     """Per length class the largest bin that is reported. A table of classes by bins is all that is fetched."""
-    bins = scored.select(F.explode("strings").alias("s")).groupBy("s.class", "s.bin").agg(
-        F.sum(F.col("s.word").cast("bigint")).alias("words"), F.sum((~F.col("s.word")).cast("bigint")).alias("others")
+    counts = scored.select(F.explode("strings").alias("s")).groupBy("s.class", "s.bin", "s.word").count()
+    # a longer word looks less random, so shorter words stand in for the longer ones that a corpus may lack
+    bins = counts.withColumn("class", F.explode(F.when(F.col("word"), F.sequence("class", F.lit(len(CLASSES) - 1))).otherwise(F.array("class"))))
+    bins = bins.groupBy("class", "bin").agg(
+        F.sum(F.when(F.col("word"), F.col("count")).otherwise(0)).alias("words"), F.sum(F.when(F.col("word"), 0).otherwise(F.col("count"))).alias("others")
     )
     upto, all_ = Window.partitionBy("class").orderBy("bin"), Window.partitionBy("class")
     words, others = F.sum("words").over(upto), F.sum("others").over(upto)

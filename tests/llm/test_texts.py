@@ -1,0 +1,265 @@
+"""Row-wise operators beside brute force, round trips and held-out accuracy."""
+
+import hashlib
+import html
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from engram.llm import byte_bpe, html_text, language_id, pii, secrets, toxicity
+from engram.llm.hashing import shingle_sets, word_hashes
+
+ODD = [None, "", " ", "a", "é" * 50, "x" * 200_000, "😀 ~ 漢字", "\x00퟿"]
+
+
+def documents(spark, texts, extra=("1 as score", "2 as base", "3 as kept", "4 as ids")):
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id 12345"), (0, texts[0]), (0, texts[0])]
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *extra), rows
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    from engram.llm import hashing
+
+    rng = random.Random(1)
+    texts = [None, "", *(" ".join("abc"[: rng.randrange(1, 4)] * rng.randrange(1, 5) for _ in range(rng.randrange(0, 300))) for _ in range(30))]
+    whole = word_hashes(texts)
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    hashing._powers.clear()
+    parts = word_hashes(texts)
+    hashing._powers.clear()
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    assert np.diff(whole[1]).tolist() == [len((t or "").split()) for t in texts]
+    assert [len(s) for s in shingle_sets(["a b", "A  b", "", None, "a b c d e f"])] == [1, 1, 0, 0, 2]
+
+
+def brute_pii(t):
+    t, out = t or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((0, *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append((1, *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        check = sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d)))
+        if 13 <= len(d) <= 19 and check % 10 == 0:
+            out.append((2, *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append((3, *m.span()))
+    return out
+
+
+def test_base_personal_data_equals_patterns():
+    rng = random.Random(5)
+    bits = ["a", "b.c", "@", ".", "@x.y", "@x", "1", "22", "255.", "256", "1.2.3.4", "+", "+1 (", ") ", "-", " ", "4111111111111111", "555", "é", "\n", "%", "_"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        assert pii.base_spans(t) == brute_pii(t), t
+    assert pii.base_spans("1" * 50_000) == []
+
+
+def test_field_finds_other_forms_and_leaves_numbers(spark):
+    field = pii.ChainField().fit(pii.labelled_rows())
+    told = lambda t: [(pii.KINDS[k], t[s:e]) for k, s, e in field.spans([t])[0]]
+    assert told("call (988) 555-2485 now, mail bob@localhost.") == [("phone", "(988) 555-2485"), ("email", "bob@localhost")]
+    assert told("in 2024, v1.2.3 cost 12.5% on 2024-01-02") == []
+    right = total = 0
+    for tokens, labels in pii.labelled_rows(seed=77, rows=150):
+        t = " ".join(tokens)
+        got = {(k, s) for k, s, _ in field.spans([t])[0]}
+        at, want = 0, set()
+        for token, label in zip(tokens, labels, strict=True):
+            if label.startswith("B-"):
+                want.add((pii.KINDS.index(label[2:]), at))
+            at += len(token) + 1
+        right, total = right + len(got & want), total + len(want | got)
+    assert right / total > 0.85
+
+
+def test_chains_decode_as_one_by_one():
+    field = pii.ChainField().fit(pii.labelled_rows(rows=40), epochs=2)
+    rng = np.random.default_rng(0)
+    chains = [rng.normal(size=(n, len(pii.LABELS))) * 3 for n in (1, 2, 7, 7, 30)]
+    together = field.decode(chains)
+    for c, path in zip(chains, together, strict=True):
+        assert np.array_equal(path, field.decode([c])[0])
+        best = field.move_in[path[0]] + c[np.arange(len(c)), path].sum() + sum(field.move[a, b] for a, b in zip(path, path[1:]))
+        for _ in range(200):
+            other = rng.integers(0, len(pii.LABELS), len(c))
+            score = field.move_in[other[0]] + c[np.arange(len(c)), other].sum() + sum(field.move[a, b] for a, b in zip(other, other[1:]))
+            assert score <= best + 1e-9
+
+
+def test_personal_data_rows(spark):
+    df, rows = documents(spark, [*ODD, "a@b.com and 1.2.3.4", "card 4111111111111111 (988) 555-2485"])
+    got = pii.find_personal_data(df, redact=True, keep=["kept", "score"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] not in (None, 0):
+            t = rows[r["doc_id"]][1]
+            assert [(pii.KINDS.index(s["kind"]), s["start"], s["end"]) for s in r["base"]] == brute_pii(t)
+    by = {r["doc_id"]: r for r in got}
+    assert by[8]["redacted"] == "[EMAIL] and [IP]" and by[9]["redacted"] == "card [CARD] [PHONE]" and by[8]["kept"] == 3
+    assert pii.find_personal_data(df.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    rng = random.Random(8)
+    token = lambda n, symbols: "".join(rng.choice(symbols) for _ in range(n))
+    word = lambda: "".join(rng.choice(["tion", "en", "th", "re", "ing", "ou", "er", "at", "es"]) for _ in range(8))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = {i: token(40, mixed) for i in range(100, 130)}
+    rows = [(i, f"{word()} {word()} say {word()} {word()}") for i in range(100)] + [(i, f"{word()} the key {t} of {word()}") for i, t in planted.items()]
+    base = ['password="abc" passwd : hunter22 TOKEN=abcdef', "AKIA" + "A" * 16 + " AKIASHORT", "f" * 24 + " " + "a" * 23, "password=token:abcdefgh api-key=x apikey = 'abcdefg'", "é secret=ééé secret='abc.d=ef'"]
+    rows += list(enumerate(base, 200)) + [(300, None), (301, ""), (None, "secret=abcdef"), (200, base[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as base", "2 as strings", "3 as start")
+    got = secrets.find_secrets(df).collect()
+    assert len(got) == len(rows)
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    texts = dict(rows)
+    found, wrong = 0, 0
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        want = [(m.start(), 0, m.end()) for m in pattern.finditer(t) if len(m.group(2)) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+        assert [(s["start"], secrets.KINDS.index(s["kind"]), s["end"]) for s in r["base"]] == sorted(want), t
+        for s in r["added"]:
+            hit = t[s["start"] : s["end"]] == planted.get(r["doc_id"])
+            found, wrong = found + hit, wrong + (not hit)
+    assert found >= 25 and wrong <= 2
+    assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(16, 8), (50, 20), (7, 3), (1 << 16, 1 << 10)])
+def test_byte_bpe_round_trip(spark, chunk, overlap):
+    rng = random.Random(chunk)
+    bits = [" ", "  ", "\n", "\n \n", "a", "bé", "'s", "'ll", "12", "!!", "héllo", "世界", " the", "\t", "☃️", "\x1f"]
+    texts = [None, "", "a" * 300, " " * 90 + "x", *("".join(rng.choice(bits) for _ in range(rng.randrange(200))) for _ in range(25))]
+    df, rows = documents(spark, texts)
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(byte_bpe.default_ranks()), byte_bpe.default_pattern())
+    ids = byte_bpe.encode(df, chunk=chunk, overlap=overlap)
+    want = sorted((d or -1, codec.encode(t or "")) for d, t in rows)
+    assert sorted((r["doc_id"] or -1, list(r["ids"])) for r in ids.collect()) == want
+    assert sorted(bytes(r["bytes"]) for r in byte_bpe.decode(ids).collect()) == sorted((t or "").encode() for _, t in rows)
+    digest = {r["doc_id"]: r for r in byte_bpe.round_trip(df, chunk=chunk, overlap=overlap).collect()}
+    for d, t in rows:
+        one = codec.encode(t or "")
+        assert digest[d]["n_tokens"] == len(one) and digest[d]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+        assert digest[d]["ids_sha256"] == hashlib.sha256(" ".join(map(str, one)).encode()).hexdigest()
+    assert byte_bpe.round_trip(df.limit(0), chunk=chunk, overlap=overlap).count() == 0
+
+
+def test_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = language_id.identify_languages(docs.selectExpr("*", "1 as score", "2 as lang_pred")).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held)
+    df, rows = documents(spark, ODD, ("'z' as other", "1 as kept"))
+    odd = language_id.identify_languages(df, labelled=docs, keep=["other"]).collect()
+    assert len(odd) == len(rows)
+    for r in odd:
+        if r["doc_id"] is not None:
+            t = rows[r["doc_id"]][1]
+            assert (r["lang_pred"] == "und") == (t is None or not any(c.isalpha() for c in t)) and 0 <= r["score"] <= 1
+    nothing = language_id.identify_languages(df.selectExpr("*", "cast(null as string) as lang")).collect()
+    assert {r["lang_pred"] for r in nothing} == {"und"}
+    assert language_id.identify_languages(docs.limit(0)).count() == 0
+
+
+def test_filters_contain_what_was_put_in(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    filters = language_id.fit_filters(docs.select("doc_id", "text", "lang"), min_share=0.0)
+    some = docs.filter("lang is not null").limit(5).collect()
+    for r in some:
+        for grams, _, _ in language_id.trigrams([r["text"]]):
+            assert np.all(filters.contained_in(grams) >> filters.languages.index(r["lang"]) & 1)
+    assert all(f < 0.05 for f in filters.false_rate)
+
+
+def test_toxicity_learns_pairs():
+    rng = np.random.default_rng(1)
+    fillers = [f"w{i}" for i in range(60)]
+    texts, labels = [], []
+    for _ in range(3000):
+        own = list(rng.choice(fillers, 8))
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        own += ["insult"] * one + ["group"] * two
+        texts.append(" ".join(own))
+        labels.append(float(one and two))
+    terms, offsets = toxicity.term_sets(texts)
+    machine = toxicity.FactorizationMachine(-1.0).fit(terms, offsets, np.array(labels))
+    slots = lambda t: toxicity.term_sets([t])
+    z = {t: machine.logits(*slots(t))[0] for t in ("w1 w2 w3", "w1 w2 insult", "w1 w2 group", "w1 insult group")}
+    assert z["w1 insult group"] > 0 > max(z["w1 w2 insult"], z["w1 w2 group"], z["w1 w2 w3"])
+    v = machine.factor[slots("insult group")[0]]
+    assert v[0] @ v[1] > 0
+
+
+def test_toxicity_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = toxicity.score_toxicity(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.score[held.toxic == 1].mean()) > 3 * held.score[held.toxic == 0].mean()
+    df, rows = documents(spark, ODD)
+    odd = toxicity.score_toxicity(df, labels.limit(0)).collect()
+    assert len(odd) == len(rows) and len({r["score"] for r in odd}) == 1 and all(r["predicted"] == 0 for r in odd)
+    assert toxicity.score_toxicity(df.limit(0), labels).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav><!-- <p>ad</p> -->
+<div class="ad">Buy this now.</div><article><h1>The  title &amp; more</h1><p>First <b>long</b> part of the text,<br>which goes on here.</p>
+<p>Second part, with &eacute;t&eacute; and <a href="x">a link</a> in it. It has some length too.<p>Third one, not closed at all, and also of some length.</article>
+<aside><p>Side words.</p></aside><section class="comments"><p>I think this is a fine article and I have much to say.</p></section><form><label>Mail</label><input></form>
+<footer>© us</footer></body></html>"""
+
+
+def test_blocks():
+    found = html_text.blocks_of(PAGE)
+    texts = [b.text for b in found]
+    assert "The title & more" in texts and "First long part of the text, which goes on here." in texts and "Second part, with été and a link in it. It has some length too." in texts
+    assert not any("var t" in t or "p{}" in t or t == "T" for t in texts)
+    for broken in (None, "", "<", "<p", "a < b", "<p class='x", "<!-- never", "<script>never", "&#", "</p></div>", "<b>" * 500 + "x"):
+        html_text.blocks_of(broken)
+    assert [b.text for b in html_text.blocks_of("a < b &lt; c")] == ["a < b < c"]
+
+
+def test_labeller_gradient():
+    rng = np.random.default_rng(0)
+    pages = [html_text.encode_page(html_text.blocks_of(PAGE)), html_text.encode_page(html_text.blocks_of(PAGE)[:4])]
+    labeller = html_text.BlockLabeller()
+    p, (x, mask, *_, kf, kb, every) = labeller._forward(pages)
+    down = rng.normal(size=(*p.shape, html_text.HIDDEN)) * mask[:, :, None]
+    grads = {k: np.zeros_like(v) for k, v in labeller.p.items()}
+    for d, kept in (("f", kf), ("b", kb)):
+        labeller._back(x, mask, d, kept, down, grads)
+        for key in (f"{d}x", f"{d}h", f"{d}c"):
+            at = tuple(int(rng.integers(n)) for n in labeller.p[key].shape)
+            sides = []
+            for step in (1e-5, -1e-5):
+                labeller.p[key][at] += step
+                sides.append((labeller._run(x, mask, d)[0] * down).sum())
+                labeller.p[key][at] -= step
+            assert abs((sides[0] - sides[1]) / 2e-5 - grads[key][at]) < 1e-4
+
+
+def test_main_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = [(-1, "u", PAGE), (-2, "u", None), (-3, None, ""), (None, "u", "<p>"), (-4, "u", "<html>" + "<p>x</p>" * 3000)]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in html_text.extract_text(pages.unionByName(odd).selectExpr("*", "1 as text", "2 as n_chars"), labelled=pages).collect()}
+    assert len(got) == pages.count() + len(rows)
+    for r in pages.collect():
+        own = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S).group(1)
+        parts = [" ".join(html.unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in re.split("</?(?:p|h1)>", own)]
+        assert got[r["page_id"]]["text"] == "\n\n".join(x for x in parts if x)
+    assert got[-1]["text"].startswith("The title & more\n\nFirst long") and "Buy" not in got[-1]["text"] and "fine article" not in got[-1]["text"] and "One" not in got[-1]["text"]
+    assert (got[-2]["text"], got[-2]["n_chars"], got[-3]["text"], got[None]["text"]) == ("", 0, "", "")
+    assert html_text.extract_text(pages.limit(0)).count() == 0
