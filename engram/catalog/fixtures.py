@@ -167,7 +167,6 @@ def edges(spark: SparkSession, root: str) -> DataFrame:
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .groupBy("o_custkey", "l_suppkey")
         .agg(F.count("*").alias("n"))
-        .filter("n >= 3")
         .select(
             text("c", "o_custkey").alias("source_id"), text("s", "l_suppkey").alias("target_id"),
             F.lit("works_with").alias("relationship"), F.lit("relational").alias("category"),
@@ -203,9 +202,9 @@ def episodes_doc(spark: SparkSession, root: str, embeddings: bool = True) -> Dat
 
 
 def queries_bm(spark: SparkSession, root: str) -> DataFrame:
-    """Benchmark openings, and one question per nation about its first supplier."""
+    """Benchmark texts, and one question per nation about its first supplier."""
     bm = table(spark, root, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("text")
+        F.col("item_id").alias("query_id"), "text"
     )
     supplier, nation = table(spark, root, "supplier"), table(spark, root, "nation")
     first = supplier.groupBy("s_nationkey").agg(F.min("s_name").alias("s_name"))
@@ -226,7 +225,7 @@ def queries_bm(spark: SparkSession, root: str) -> DataFrame:
 def lessons_bm(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "benchmark").select(
         F.col("item_id").cast("string").alias("id"), F.col("text").alias("statement"),
-        F.substring("text", 1, 60).alias("prevention_rule"),
+        F.col("text").alias("prevention_rule"),
         F.when(F.col("item_id") % 3 == 0, "critical")
         .when(F.col("item_id") % 3 == 1, "important").otherwise("minor").alias("severity"),
         (F.col("item_id") % 5).cast("int").alias("times_reinforced"),
@@ -240,7 +239,7 @@ def insights_doc(spark: SparkSession, root: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % 5 + 1).cast("int"))
     return table(spark, root, "documents").select(
         F.col("doc_id").cast("string").alias("id"), kind.alias("type"),
-        F.substring("text", 1, 300).alias("content"),
+        F.col("text").alias("content"),
         F.when(F.col("doc_id") % 3 == 0, "critical").otherwise("minor").alias("severity"),
     )
 

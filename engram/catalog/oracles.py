@@ -77,7 +77,7 @@ edges AS (
     UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'located_in', 0.9::DOUBLE FROM supplier
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part_of', 0.9::DOUBLE FROM nation
     UNION ALL SELECT 'c' || o_custkey, 's' || l_suppkey, 'works_with', least(1.0::DOUBLE, 0.3::DOUBLE + count(*) * 0.05::DOUBLE)
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey HAVING count(*) >= 3))
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey))
 """
 
 EPISODES = """
@@ -93,7 +93,7 @@ episodes AS (
 QUERIES = """
 queries AS (
   SELECT q.query_id, q.text, e.embedding FROM (
-    SELECT item_id AS query_id, substring(text, 1, 40) AS text FROM benchmark
+    SELECT item_id AS query_id, text FROM benchmark
     UNION ALL SELECT n_nationkey + 1000000, 'Which people are working with ' || s_name || ' in ' || n_name
       FROM nation JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey) q
   LEFT JOIN embeddings e ON e.vec_id = q.query_id % 1000000)
@@ -101,7 +101,7 @@ queries AS (
 
 LESSONS = """
 lessons AS (
-  SELECT CAST(item_id AS VARCHAR) AS id, text AS statement, substring(text, 1, 60) AS prevention_rule,
+  SELECT CAST(item_id AS VARCHAR) AS id, text AS statement, text AS prevention_rule,
     CASE item_id % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'important' ELSE 'minor' END AS severity,
     CAST(item_id % 5 AS INTEGER) AS times_reinforced, TIMESTAMP '2024-01-15' AS created_at,
     CAST(item_id AS VARCHAR) AS learned_from
@@ -111,7 +111,7 @@ lessons AS (
 INSIGHTS = """
 insights AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, ['lesson','pattern','preference','decision','emotional_moment'][doc_id % 5 + 1] AS type,
-    substring(text, 1, 300) AS content, CASE WHEN doc_id % 3 = 0 THEN 'critical' ELSE 'minor' END AS severity
+    text AS content, CASE WHEN doc_id % 3 = 0 THEN 'critical' ELSE 'minor' END AS severity
   FROM documents)
 """
 

@@ -45,7 +45,7 @@ FROM nodes ORDER BY last_verified, id LIMIT 10"""
 
 @query("verify_nodes")
 def verify_nodes(spark, root):
-    verdicts = fx.table(spark, root, "orders").filter("o_totalprice > 400000").select(
+    verdicts = fx.table(spark, root, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"),
         F.when(F.col("o_orderstatus") == "F", 0.95).alias("new_confidence"),
     )
@@ -53,7 +53,7 @@ def verify_nodes(spark, root):
 
 
 o.SQL["verify_nodes"] = f"""
-WITH {o.NODES}, v AS (SELECT 'c' || o_custkey AS id, max(CASE WHEN o_orderstatus = 'F' THEN 0.95 END) AS c FROM orders WHERE o_totalprice > 400000 GROUP BY 1)
+WITH {o.NODES}, v AS (SELECT 'c' || o_custkey AS id, max(CASE WHEN o_orderstatus = 'F' THEN 0.95 END) AS c FROM orders GROUP BY 1)
 SELECT n.id, round(coalesce(c, confidence), 6) AS confidence, CASE WHEN v.id IS NULL THEN last_verified ELSE TIMESTAMP '{AS}' END AS last_verified FROM nodes n LEFT JOIN v ON v.id = n.id"""
 
 
@@ -123,7 +123,7 @@ o.SQL["open_contradictions"] = f"WITH {_ATTR} SELECT 'user ' || id AS name, fiel
 
 
 def _big_edges(spark, root):
-    return fx.table(spark, root, "orders").filter("o_totalprice > 300000").select(
+    return fx.table(spark, root, "orders").select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"),
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target_id"),
     )
@@ -131,13 +131,13 @@ def _big_edges(spark, root):
 
 @query("drop_orphans")
 def drop_orphans(spark, root):
-    persons = fx.table(spark, root, "customer").filter("c_acctbal > 9000").select(F.col("c_name").alias("name"))
+    persons = fx.table(spark, root, "customer").select(F.when(F.col("c_acctbal") > 9000, F.col("c_name")).otherwise(F.col("c_mktsegment")).alias("name"))
     return mt.drop_orphans(fx.nodes(spark, root, embeddings=False), _big_edges(spark, root), persons).select("id")
 
 
 o.SQL["drop_orphans"] = f"""
-WITH {o.NODES} SELECT id FROM nodes WHERE NOT (type = 'person' AND confidence < 1.0 AND id NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_totalprice > 300000)
-  AND name NOT IN (SELECT c_name FROM customer WHERE c_acctbal > 9000))"""
+WITH {o.NODES} SELECT id FROM nodes WHERE NOT (type = 'person' AND confidence < 1.0 AND id NOT IN (SELECT 'c' || o_custkey FROM orders)
+  AND name NOT IN (SELECT CASE WHEN c_acctbal > 9000 THEN c_name ELSE c_mktsegment END FROM customer))"""
 
 
 @query("duplicate_persons")
@@ -223,7 +223,7 @@ def infer_edges(spark, root):
     known = fx.table(spark, root, "part").select(
         F.lit("t:none").alias("source_id"), F.concat(F.lit("t:"), F.col("p_name")).alias("target_id")
     )
-    return mt.infer_edges(pairs, nodes, known, total=500).select("source_id", "target_id", "relationship", "category", *_r("strength"))
+    return mt.infer_edges(pairs, nodes, known).select("source_id", "target_id", "relationship", "category", *_r("strength"))
 
 
 @query("maintenance_suite")
@@ -232,12 +232,12 @@ def maintenance_suite(spark, root):
 
     tables = {
         "nodes": fx.nodes(spark, root), "edges": _big_edges(spark, root).withColumn("relationship", F.lit("values")),
-        "persons": fx.table(spark, root, "customer").filter("c_acctbal > 9000").select(F.col("c_name").alias("name")),
+        "persons": fx.table(spark, root, "customer").select(F.when(F.col("c_acctbal") > 9000, F.col("c_name")).otherwise(F.col("c_mktsegment")).alias("name")),
     }
     return maintain(tables, fx.ORDERS_AS_OF)[1]
 
 
 o.SQL["maintenance_suite"] = f"""
-WITH {o.NODES}, k AS (SELECT * FROM nodes WHERE NOT (type = 'person' AND confidence < 1.0 AND id NOT IN (SELECT 'c' || o_custkey FROM orders WHERE o_totalprice > 300000)
-  AND name NOT IN (SELECT c_name FROM customer WHERE c_acctbal > 9000))), e AS (SELECT *, {o.effective('confidence', 'last_verified', AS)} AS eff FROM k)
+WITH {o.NODES}, k AS (SELECT * FROM nodes WHERE NOT (type = 'person' AND confidence < 1.0 AND id NOT IN (SELECT 'c' || o_custkey FROM orders)
+  AND name NOT IN (SELECT CASE WHEN c_acctbal > 9000 THEN c_name ELSE c_mktsegment END FROM customer))), e AS (SELECT *, {o.effective('confidence', 'last_verified', AS)} AS eff FROM k)
 SELECT (SELECT count(*) FROM nodes WHERE type='person') AS persons_before, count(*) FILTER (type='person') AS persons_after, count(*) AS processed, count(*) FILTER (eff < confidence * 0.9) AS decayed, count(*) FILTER (eff < 0.3) AS stale FROM e"""

@@ -405,7 +405,7 @@ i AS (SELECT session_id, string_agg(intent || ':' || n, ',' ORDER BY intent) AS
 e AS (SELECT session_id, emotion, n, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, emotion) AS rn FROM
   (SELECT session_id, emotion, count(*) AS n FROM (SELECT session_id, unnest(emotions) AS emotion FROM z) GROUP BY 1, 2)),
 t AS (SELECT session_id, string_agg(emotion, ',' ORDER BY rn) AS top_emotions FROM e WHERE rn <= 5 GROUP BY 1)
-SELECT b.*, intents, top_emotions FROM (SELECT session_id, count(*) AS messages, sum(nc)::BIGINT AS claims, round(avg(valence), 6) AS avg_valence, round(avg(arousal), 6) AS avg_arousal FROM z GROUP BY 1) b
+SELECT b.*, intents, top_emotions FROM (SELECT session_id, count(*) AS messages, sum(nc)::BIGINT AS claims, round((CAST(sum(CAST(valence AS DECIMAL(38,15))) AS DOUBLE) / count(valence)), 6) AS avg_valence, round((CAST(sum(CAST(arousal AS DECIMAL(38,15))) AS DOUBLE) / count(arousal)), 6) AS avg_arousal FROM z GROUP BY 1) b
 JOIN i USING (session_id) JOIN t USING (session_id)"""
 
 
@@ -424,7 +424,7 @@ o.SQL["segment_episodes"] = f"""
 WITH {_ENTITY_MESSAGES}, {_PROC}, {o.NODES}, {_TERMS}, {_SENT_KEPT},
 n AS (SELECT f.*, (row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1) // 10 AS segment FROM felt f),
 k AS (SELECT n.session_id, segment, count(DISTINCT entity) AS ne FROM n JOIN mentions USING (message_id) GROUP BY 1, 2),
-g AS (SELECT session_id, segment, string_agg('[' || sender || '] ' || substring(text, 1, 500), chr(10) ORDER BY seq) AS nar, avg(valence) AS v, avg(arousal) AS a FROM n GROUP BY 1, 2)
+g AS (SELECT session_id, segment, string_agg('[' || sender || '] ' || substring(text, 1, 500), chr(10) ORDER BY seq) AS nar, (CAST(sum(CAST(valence AS DECIMAL(38,15))) AS DOUBLE) / count(valence)) AS v, (CAST(sum(CAST(arousal AS DECIMAL(38,15))) AS DOUBLE) / count(arousal)) AS a FROM n GROUP BY 1, 2)
 SELECT g.session_id, g.segment, substring(nar, 1, 4000) AS narrative, least(20, coalesce(ne, 0)) AS n_topics,
   round(least(1.0, 0.3 + coalesce(ne, 0) * 0.05)::DOUBLE, 6) AS importance_score, round(v, 6) AS valence, round(a, 6) AS arousal,
   CASE WHEN v > 0.3 THEN 'positive' WHEN v < -0.3 THEN 'negative' ELSE 'stable' END AS trajectory

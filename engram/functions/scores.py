@@ -10,6 +10,12 @@ from engram.functions.text import query_words
 DAY_MICROS = 86_400_000_000
 
 
+def exact_avg(value) -> Column:
+    """Mean of doubles that does not depend on their order: they are summed as decimals."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.sum(value.cast("decimal(38,15)")).cast("double") / F.count(value)
+
+
 def timestamp(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 

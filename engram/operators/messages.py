@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import lexicons as lx
-from engram.functions.scores import clamp
+from engram.functions.scores import clamp, exact_avg
 from engram.functions.text import (
     any_of, ascii_regex, contains_any, count_char, count_contained, first_match, js_trim,
     labels_where, matches, matches_any, no_strings,
@@ -504,8 +504,8 @@ def transcript_summary(processed: DataFrame, entity_counts: DataFrame | None = N
     base = processed.groupBy("session_id").agg(
         F.count("*").alias("messages"),
         F.sum(F.size("claims")).alias("claims"),
-        F.avg("valence").alias("avg_valence"),
-        F.avg("arousal").alias("avg_arousal"),
+        exact_avg("valence").alias("avg_valence"),
+        exact_avg("arousal").alias("avg_arousal"),
     )
     intents = (
         processed.groupBy("session_id", "intent").agg(F.count("*").alias("n"))
@@ -538,8 +538,8 @@ def segment_episodes(processed: DataFrame, size: int = 10) -> DataFrame:
         F.sort_array(
             F.collect_list(F.struct("position", line.alias("line"), "entities", "intent"))
         ).alias("m"),
-        F.avg("valence").alias("valence"),
-        F.avg("arousal").alias("arousal"),
+        exact_avg("valence").alias("valence"),
+        exact_avg("arousal").alias("arousal"),
     )
     names = F.array_distinct(F.flatten(F.col("m.entities")))
     kinds = F.array_distinct(F.col("m.intent"))
