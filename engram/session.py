@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -35,12 +35,14 @@ def local_session(cores: str = "8", memory: str = "8g", app: str = "engram") ->
 def use_checkpoints(spark: SparkSession) -> None:
     """Point checkpoints at the folder the cluster names in spark.checkpoint.dir.
 
-    Only when neither the session nor its context has one (local tests) is a
-    scratch folder below the warehouse used.
+    Only a local session for which neither names one (tests) gets a temporary
+    folder; on a cluster that is an error, since other machines could not read it.
     """
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.environ.get("ENGRAM_CHECKPOINT_DIR") or "/tmp/engram-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="engram-checkpoints-")
     spark.sparkContext.setCheckpointDir(folder)

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram.catalog import fixtures as fx
@@ -118,25 +119,56 @@ def test_stream_rolling_window_and_sink(spark, tmp_path):
     assert spark.read.parquet(f"{root}/episodes").filter("batch_id = 0").count() == df.count()
 
 
-def test_nightly_cycle_writes_versions(spark, tmp_path):
+def test_nightly_cycle_runs_twice_on_one_root(spark, tmp_path):
     from engram.catalog.q_consolidation import _message_episodes
     from engram.catalog.q_tables import _persons
+    from engram.sources.tables import current_versions, read_current
 
     tables = {
-        "nodes": fx.nodes(spark, ROOT, embeddings=False), "edges": fx.edges(spark, ROOT), "episodes": _message_episodes(spark, ROOT),
+        "nodes": fx.nodes(spark, ROOT), "edges": fx.edges(spark, ROOT), "episodes": _message_episodes(spark, ROOT),
         "lessons": fx.lessons_bm(spark, ROOT), "identity": fx.identity_rows(spark), "procedures": fx.procedures_ev(spark, ROOT),
         "persons": _persons(spark, ROOT), "insights": fx.insights_doc(spark, ROOT),
     }
-    after, details = cycles.run_cycle(spark, tables, "nightly", "2024-01-31 00:00:00", root=str(tmp_path))
-    assert not [k for k, v in details.items() if "error" in v], details
+    root = str(tmp_path)
+    after, details = cycles.run_cycle(spark, tables, "nightly", "2024-01-31 00:00:00", root=root)
     assert details["enrich"]["episodes_processed"] == tables["episodes"].count()
     assert after["lessons"].count() == tables["lessons"].count() + details["lessons"]["lessons_learned"]
-    assert spark.read.parquet(str(tmp_path / "consolidation_log")).count() == 1
+    assert {"decay", "contradictions", "backlog"} <= set(details) and details["decay"]["processed"] == after["nodes"].count()
+    first = current_versions(spark, root)
+    lessons = after["lessons"].count()
+
+    def bad(tables, keep):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        cycles.run_stages(spark, [*cycles.backfill_stages("2024-02-01 00:00:00")[:1], ("bad", bad)], after, root, "broken")
+    assert current_versions(spark, root) == first
+    current = read_current(spark, root)
+    assert current["lessons"].count() == lessons and current["edges"].filter("id is null").count() == 0
+
+    again, _ = cycles.run_cycle(spark, {**tables, **current}, "nightly", "2024-02-01 00:00:00", root=root)
+    second = current_versions(spark, root)
+    assert all(second[t] != first[t] for t in ("lessons", "episodes", "edges"))
+    assert after["lessons"].count() == lessons and again["lessons"].count() == read_current(spark, root)["lessons"].count()
+    assert spark.read.parquet(f"{root}/consolidation_log").count() == 2
+
+
+def test_daily_rollup_reaches_the_episodes(spark, tmp_path):
+    episodes = fx.episodes_doc(spark, ROOT)
+    stages = [s for s in cycles.consolidation_stages("daily", fx.DOCS_AS_OF) if s[0] == "rollup"]
+    after, details = cycles.run_stages(spark, stages, {"episodes": episodes})
+    done = details["rollup"]["memories_consolidated"]
+    assert done > 0 and after["episodes"].filter("consolidated_into is not null").count() == done
+    again, details = cycles.run_stages(spark, stages, after)
+    assert details["rollup"]["memories_consolidated"] == 0 and again["episodes"].count() == after["episodes"].count()
 
 
-def test_failed_stage_is_noted(spark):
-    def bad(tables):
+def test_failed_stage_is_noted_on_request(spark):
+    def bad(tables, keep):
         raise ValueError("no")
 
-    tables, details = cycles.run_stages(spark, [("bad", bad), ("same", lambda t: (t, {}))], {"x": spark.range(1)})
+    stages = [("bad", bad), ("same", lambda t, keep: (t, {}))]
+    with pytest.raises(ValueError):
+        cycles.run_stages(spark, stages, {"x": spark.range(1)})
+    tables, details = cycles.run_stages(spark, stages, {"x": spark.range(1)}, keep_going=True)
     assert details == {"bad": {"error": "no"}, "same": {}} and set(tables) == {"x"}
