@@ -22,7 +22,7 @@ from engram.llm.language_id import held_out
 
 TERMS = 1 << 18
 FACTORS = 8
-SAMPLE = 40_000  # about so many labelled texts fit the machine
+SAMPLE = 30_000  # about so many labelled texts fit the machine
 THRESHOLD = 0.3
 SLICE = 500  # texts handled at a time
 
@@ -74,7 +74,7 @@ class FactorizationMachine:
         apart = np.abs(toxic / n1 - (counts - toxic) / n0) / np.sqrt(share * (1 - share).clip(1e-9) * (1 / n1 + 1 / n0))
         common = (counts >= least) & (apart >= clear)
         self.factor[~common] = 0
-        text = np.repeat(np.arange(len(labels)), np.diff(offsets))[common[terms]]
+        text = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(offsets))[common[terms]]
         terms = terms[common[terms]]
         offsets = np.searchsorted(text, np.arange(len(labels) + 1))
         seen_w, seen_v, seen_b = np.ones(TERMS, np.float32), np.ones((TERMS, FACTORS), np.float32), 1.0
@@ -127,7 +127,7 @@ def fit_machine(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     gold = (table["toxic"].to_numpy() > 0).astype(float)
     share = np.clip(gold.mean(), 0.001, 0.999)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in own])))
-    return FactorizationMachine(float(np.log(share / (1 - share)))).fit(np.concatenate(own).astype(np.int64), offsets, gold)
+    return FactorizationMachine(float(np.log(share / (1 - share)))).fit(np.concatenate(own), offsets, gold)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
