@@ -122,7 +122,9 @@ def fit_machine(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
     table = rows.mapInArrow(terms, "doc_id bigint, toxic int, terms binary").toPandas().sort_values(["doc_id", "terms"], kind="stable")
     if not len(table):
-        return FactorizationMachine(-3.0)
+        machine = FactorizationMachine(-3.0)
+        machine.factor[:] = 0
+        return machine
     own = [np.frombuffer(t, dtype=np.int32) for t in table["terms"]]
     gold = (table["toxic"].to_numpy() > 0).astype(float)
     share = np.clip(gold.mean(), 0.001, 0.999)
