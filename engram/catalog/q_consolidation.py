@@ -295,19 +295,19 @@ def health_score(spark, root):
         "identity": fx.identity_rows(spark), "persons": _persons(spark, root), "procedures": fx.procedures_ev(spark, root),
         "lessons": fx.lessons_bm(spark, root),
     }
-    return c.health(tables).select(
-        "score", "n_nodes", "n_edges", "n_episodes", "n_persons", "orphans", "duplicates", "protected", *_r("embedding_coverage", "avg_importance")
+    return c.health(tables, as_of=fx.ORDERS_AS_OF).select(
+        "score", "stale_nodes", "episodes_with_embedding", "episodes_with_lessons", "n_nodes", "n_edges", "n_episodes", "n_persons", "orphans", "duplicates", "protected", *_r("embedding_coverage", "avg_importance")
     )
 
 
 o.SQL["health_score"] = f"""
-WITH {o.NODES}, {o.EDGES}, {o.EPISODES}, {_IDENTITY}, m AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(embedding) FROM nodes) AS ne, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM episodes) AS n_episodes,
+WITH {o.NODES}, {o.EDGES}, {o.EPISODES}, {_IDENTITY}, m AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(embedding) FROM nodes) AS ne, (SELECT count(*) FROM nodes WHERE last_verified < TIMESTAMP '{fx.ORDERS_AS_OF}' - INTERVAL 60 DAY) AS stale_nodes, (SELECT count(embedding) FROM episodes) AS ee, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM episodes) AS n_episodes,
  (SELECT count(*) FROM customer) AS n_persons, (SELECT count(*) FROM identity) AS n_identity, (SELECT count(DISTINCT event_type) FROM events) AS n_procs, (SELECT avg(emotional_weight) FROM identity)::DOUBLE AS w,
  (SELECT count(*) FROM nodes WHERE type='person' AND id NOT IN (SELECT source_id FROM edges UNION SELECT target_id FROM edges)) AS orphans, (SELECT count(*) FROM (SELECT summary FROM episodes GROUP BY 1 HAVING count(*) > 1)) AS duplicates,
  (SELECT count(*) FILTER (decay_protected) FROM episodes) AS protected, (SELECT avg(importance_score) FROM episodes) AS imp)
 SELECT CAST(round(least(n_nodes / 100.0, 1) * 10 + least(n_edges / 500.0, 1) * 8 + least(n_episodes / 200.0, 1) * 8 + least(n_identity / 20.0, 1) * 5 + least(n_persons / 3.0, 1) * 4 + least(n_procs / 10.0, 1) * 5
   + ne / n_nodes::DOUBLE * 15 + 5 + 5 + greatest(0, 5 - orphans) + greatest(0, 5 - duplicates) + imp * 5 + least(protected / 30.0, 1) * 5 + w * 5) AS BIGINT) AS score,
- n_nodes, n_edges, n_episodes, n_persons, orphans, duplicates, protected, round(ne / n_nodes::DOUBLE, 6) AS embedding_coverage, round(imp, 6) AS avg_importance FROM m"""
+ stale_nodes, ee AS episodes_with_embedding, CAST(0 AS BIGINT) AS episodes_with_lessons, n_nodes, n_edges, n_episodes, n_persons, orphans, duplicates, protected, round(ne / n_nodes::DOUBLE, 6) AS embedding_coverage, round(imp, 6) AS avg_importance FROM m"""
 
 
 # --- cross-layer edges ---------------------------------------------------------------------------------

@@ -262,6 +262,18 @@ WITH {_EPISODES_ALL}, {_ARC} SELECT id, round(v, 6) AS valence, round(a, 6) AS a
   round(greatest(abs(v1), abs(v2)) * sign(v), 6) AS peak, {_label('v', 'a')} AS label FROM w2"""
 
 
+@query("trajectory_histogram")
+def trajectory_histogram(spark, root):
+    from engram.operators.tables import trajectory_histogram as histogram
+
+    felt = e.emotional_arc(_episodes_all(spark, root).withColumn("text", e.episode_text()), "text")
+    return histogram(felt.select(F.col("emotion.arc").alias("arc")))
+
+
+o.SQL["trajectory_histogram"] = f"""
+WITH {_EPISODES_ALL}, {_ARC} SELECT CASE WHEN v2 - v1 > .3 THEN 'ascending' WHEN v2 - v1 < -.3 THEN 'descending' ELSE 'stable' END AS trajectory, count(*) AS n FROM w2 GROUP BY 1"""
+
+
 @query("enrich_episodes")
 def enrich_episodes(spark, root):
     out, _ = e.enrich(_episodes_all(spark, root), fx.nodes(spark, root, embeddings=False), vip="customer#000000001")

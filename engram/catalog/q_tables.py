@@ -455,3 +455,23 @@ def affirm_from_text(spark, root):
 o.SQL["affirm_from_text"] = f"""
 WITH {o.MESSAGES_EV}, {_IDENTITY} SELECT key, any_value(times_affirmed)::BIGINT + count(message_id) AS times_affirmed FROM identity
 LEFT JOIN messages ON contains(lower(text), lower(replace(key, '-', ' '))) OR contains(lower(text), lower(substring(value, 1, 30))) GROUP BY key"""
+
+
+@query("ranked_by_executions")
+def ranked_by_executions(spark, root):
+    order = [F.col("execution_count").desc(), F.col("name")]
+    return t.ranked(_executed(spark, root), F.col("success_count") > 0, order).select("name", "execution_count", "success_count")
+
+
+o.SQL["ranked_by_executions"] = f"WITH {_EXECUTED} SELECT name, execution_count, success_count FROM done WHERE success_count > 0 ORDER BY execution_count DESC, name"
+
+
+@query("append_links")
+def append_links(spark, root):
+    """Customer links kept beside those of their orders."""
+    old = fx.table(spark, root, "customer").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").cast("bigint").alias("target"))
+    new = fx.table(spark, root, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"))
+    return t.append_links(old, new)
+
+
+o.SQL["append_links"] = "SELECT c_custkey AS source, CAST(c_nationkey AS BIGINT) AS target FROM customer UNION ALL SELECT o_custkey, o_orderkey FROM orders"

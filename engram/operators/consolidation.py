@@ -412,8 +412,12 @@ def rollup_daily(episodes: DataFrame, as_of, below: float = 0.3, more_than: int
 
 
 # --- health --------------------------------------------------------------------------------------------------
-def health(tables: dict[str, DataFrame], contradictions: DataFrame | None = None) -> DataFrame:
-    """One row: the score of 0 to 100 and the measures it is made of."""
+def health(tables: dict[str, DataFrame], contradictions: DataFrame | None = None, as_of=None, stale_days: int = 60) -> DataFrame:
+    """One row: the score of 0 to 100, the measures it is made of, and those that are only reported.
+
+    Reported: nodes not verified for ``stale_days`` before ``as_of`` (null without one), episodes
+    with a vector and episodes with lessons.
+    """
     nodes, edges, episodes = tables["nodes"], tables["edges"], tables["episodes"]
     one = lambda df: df.withColumn("_one", F.lit(1))
 
@@ -423,11 +427,17 @@ def health(tables: dict[str, DataFrame], contradictions: DataFrame | None = None
     told = F.try_element_at("attributes", F.lit("confidence")).cast("double")
     has = lambda c: (F.count_if(F.coalesce(F.size(c), F.lit(0)) > 0) if c in episodes.columns else F.lit(0).cast("bigint"))
     parts = [
-        nodes.agg(F.count("*").alias("n_nodes"), F.count("embedding").alias("nodes_with_embedding"), F.avg(told).alias("_conf")),
+        nodes.agg(
+            F.count("*").alias("n_nodes"), F.count("embedding").alias("nodes_with_embedding"), F.avg(told).alias("_conf"),
+            (F.lit(None).cast("bigint") if as_of is None
+             else F.count_if(F.col("last_verified") < timestamp(as_of) - F.make_dt_interval(F.lit(stale_days)))).alias("stale_nodes"),
+        ),
         size("edges"),
         episodes.agg(
             F.count("*").alias("n_episodes"), F.avg("importance_score").alias("_imp"),
             F.count_if("decay_protected").alias("protected"), has("decisions").alias("with_decisions"),
+            (F.count("embedding") if "embedding" in episodes.columns else F.lit(0).cast("bigint")).alias("episodes_with_embedding"),
+            has("lessons").alias("episodes_with_lessons"),
         ),
         tables["identity"].agg(F.count("*").alias("n_identity"), F.avg("emotional_weight").alias("_weight")),
         size("persons"), size("procedures"), size("lessons"),
@@ -437,7 +447,7 @@ def health(tables: dict[str, DataFrame], contradictions: DataFrame | None = None
             "id", "left_anti",
         )
         .agg(F.count("*").alias("orphans")),
-        episodes.groupBy("summary").agg(F.count("*").alias("c")).filter("c > 1").agg(F.count("*").alias("duplicates")),
+        episodes.groupBy(F.xxhash64("summary"), F.length("summary")).agg(F.count("*").alias("c")).filter("c > 1").agg(F.count("*").alias("duplicates")),
         (nodes.limit(0).agg(F.count("*").alias("contradictions")) if contradictions is None
          else contradictions.agg(F.count_if(~F.col("resolved")).alias("contradictions"))),
     ]

@@ -24,7 +24,7 @@ def grams(text: Column, q: int) -> Column:
 def _anchors(terms: DataFrame, term: str, sizes: list[int]) -> DataFrame:
     """One gram per distinct term: the least shared one, the leftmost of equals."""
     distinct = terms.select(F.col(term).alias("_term")).distinct()
-    size = F.when(F.length("_term") >= LONG_GRAM, F.lit(LONG_GRAM)).otherwise(F.lit(min(sizes)))
+    size = F.least(F.length("_term"), F.lit(LONG_GRAM))
     per_size = [
         distinct.filter(size == q).select("_term", F.posexplode(grams(F.col("_term"), q)))
         for q in sizes
@@ -41,11 +41,11 @@ def _anchors(terms: DataFrame, term: str, sizes: list[int]) -> DataFrame:
 
 
 def term_stats(terms: DataFrame, term: str) -> list:
-    """Rows and characters per length class: at most seven rows."""
+    """Rows and characters, of all columns, per length class: at most six rows."""
     return (
         terms.filter(F.length(term) > 0)
         .groupBy(F.least(F.length(term), F.lit(LONG_GRAM)).alias("q"))
-        .agg(F.count("*").alias("n"), F.sum(F.length(term)).alias("chars"))
+        .agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars"))
         .collect()
     )
 
@@ -73,9 +73,8 @@ def contained_terms(
         sum(r["n"] for r in kinds) <= broadcast_terms
         and sum(r["chars"] for r in kinds) <= BROADCAST_CHARS
     )
-    kinds = {r["q"] for r in kinds} or {LONG_GRAM}
-    short = [q for q in kinds if q < LONG_GRAM]
-    sizes = ([min(short)] if short else []) + ([LONG_GRAM] if LONG_GRAM in kinds else [])
+    # a short term has grams of its own length, so that one of a single letter concerns no other
+    sizes = sorted({r["q"] for r in kinds} or {LONG_GRAM})
     anchors = _anchors(terms, term, sizes)
     all_grams = F.array_distinct(F.concat(*[grams(F.col(text), q) for q in sizes]))
     columns = [c for c in texts.columns]

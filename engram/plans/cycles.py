@@ -224,8 +224,11 @@ def entity_link_stage(tables: Tables, keep: Keep):
     return {**tables, "entity_links": enrichment.link_entities(tables["episodes"], tables["nodes"])}, {}
 
 
-def health_stage(tables: Tables, keep: Keep):
-    return tables, {"health": co.health(tables, tables.get("contradictions"))}
+def health_stage(as_of) -> Stage:
+    def run(tables: Tables, keep: Keep):
+        return tables, {"health": co.health(tables, tables.get("contradictions"), as_of)}
+
+    return run
 
 
 # --- cycles -------------------------------------------------------------------------
@@ -244,9 +247,9 @@ def consolidation_stages(mode: str, as_of) -> list[tuple[str, Stage]]:
     end = [("enrich", enrich_stage), ("session_end", session_end_stage(as_of)), ("backlog", backlog_stage)]
     daily = end + [
         ("link", link_stage), ("entity_links", entity_link_stage), ("rollup", daily_rollup_stage(as_of)),
-        ("decay", decay_stage(as_of)), ("contradictions", contradiction_stage), ("health", health_stage),
+        ("decay", decay_stage(as_of)), ("contradictions", contradiction_stage), ("health", health_stage(as_of)),
     ]
-    weekly = daily + [("dedup", dedup_stage(as_of)), ("infer", infer_stage), ("audit", health_stage)]
+    weekly = daily + [("dedup", dedup_stage(as_of)), ("infer", infer_stage), ("audit", health_stage(as_of))]
     return {"session_end": end, "daily": daily, "weekly": weekly}[mode]
 
 

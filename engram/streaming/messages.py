@@ -102,7 +102,7 @@ def segment_stream(stream: DataFrame, size: int = 10, late: str = "10 minutes")
     is emitted when the session has been idle for an hour of event time.
 
     ``stream`` carries the columns of ``understand``. State holds fewer than
-    ``size`` message lines.
+    ``size`` message lines, and after an idle hour one number per session.
     """
     out_schema = (
         "session_id string, segment bigint, narrative string, valence double, arousal double, n_messages bigint, last_ts timestamp"
@@ -128,7 +128,9 @@ def segment_stream(stream: DataFrame, size: int = 10, late: str = "10 minutes")
         if state.hasTimedOut:
             if lines:
                 yield emit(k[0], segment, lines, valence, arousal, last)
-            state.remove()
+                segment += 1
+            # the number stays, so that a session that goes on never repeats one
+            state.update((segment, [], [], [], last))
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         for line, v, a, t in zip(rows["line"], rows["valence"], rows["arousal"], _micros(rows["ts"])):
