@@ -401,22 +401,23 @@ def min_interval_gate(
     """
     interval = int(seconds * 1_000_000)
     chunk = max(interval, 60_000_000) * 64
-    rows = df.withColumn("_t", F.unix_micros("ts")).withColumn(
-        "_ok", F.lit(True) if eligible is None else eligible
-    )
+    whole = df.withColumn("_ok", F.lit(True) if eligible is None else eligible)
+    # only what the gate looks at goes through its joins; the rows themselves are joined once at the end
+    narrow = list(dict.fromkeys([*keys, *order, "ts"]))
+    rows = whole.select(*narrow, "_ok").distinct().withColumn("_t", F.unix_micros("ts"))
     heads = greedy_heads(rows.filter("_ok"), keys, "_t", interval, chunk)
     winner = rows.filter("_ok").groupBy(*keys, "_t").agg(F.min(F.struct(*order)).alias("_w"))
     accepted = heads.join(winner.withColumnRenamed("_t", "t"), [*keys, "t"])
     last = _last_at_or_before(rows, heads, keys, chunk)
-    return (
+    verdicts = (
         last.join(accepted.withColumnRenamed("t", "_t"), [*keys, "_t"], "left")
         .withColumn(
             "accepted",
             F.coalesce(F.col("_ok") & (F.struct(*order) == F.col("_w")), F.lit(False)),
         )
-        .withColumn("since_accepted", F.col("_t") - F.col("_head"))
-        .drop("_w", "_t", "_ok", "_head")
+        .select(*narrow, "_ok", "accepted", (F.col("_t") - F.col("_head")).alias("since_accepted"))
     )
+    return whole.join(verdicts, [*narrow, "_ok"]).select(*df.columns, "accepted", "since_accepted")
 
 
 def _last_at_or_before(rows: DataFrame, heads: DataFrame, keys: list[str], chunk: int) -> DataFrame:
@@ -469,18 +470,26 @@ def rate_counter(df: DataFrame, keys: list[str], order: list[str], seconds: floa
 
     interval = int(seconds * 1_000_000)
     chunk = max(interval, 60_000_000) * 64
-    rows = df.withColumn("_t", F.unix_micros("ts"))
+    narrow = list(dict.fromkeys([*keys, *order, "ts"]))
+    rows = df.select(*narrow).withColumn("_t", F.unix_micros("ts"))
     heads = greedy_heads(rows, keys, "_t", interval, chunk)
     opened = _last_at_or_before(rows, heads, keys, chunk)
     inside = Window.partitionBy(*keys, "_head").orderBy("_t", *order)
     left = F.ceil((F.col("_head") + interval - F.col("_t")) / F.lit(1_000_000.0))
-    return (
+    counted = (
         opened.withColumn("n_in_window", F.row_number().over(inside))
         .withColumn("allowed", F.col("n_in_window") <= limit)
         .withColumn("retry_after", F.when(~F.col("allowed"), left))
         .withColumn("window_start", F.timestamp_micros("_head"))
         .drop("_t", "_head")
     )
+    # rows that agree in all of these columns keep places of their own: they are numbered on both sides
+    same = Window.partitionBy(*narrow)
+    counted = counted.withColumn("_same", F.row_number().over(same.orderBy("n_in_window")))
+    whole = df.withColumn("_same", F.row_number().over(same.orderBy(F.lit(1))))
+    return whole.join(counted, [*narrow, "_same"]).drop("_same").select(
+        *df.columns, "n_in_window", "allowed", "retry_after", "window_start"
+    )
 
 
 # --- transcripts --------------------------------------------------------------------

@@ -57,9 +57,9 @@ def greedy_heads(
     """Times accepted by "at least ``interval`` after the last accepted one", per key.
 
     A gap of ``interval`` in the input forgets all history, so runs between such
-    gaps are independent. Short runs are folded at once. A run longer than
-    ``fold_limit`` is folded chunk by chunk: the last head of a chunk starts the
-    next one, with the lineage cut by a checkpoint per round.
+    gaps are independent. Short runs are folded at once. In a run longer than
+    ``fold_limit`` every time gets a pointer to the first one that may follow it,
+    and the pointers are followed from its start in a logarithmic number of rounds.
     """
     spark = df.sparkSession
     gap = F.lit(interval)
@@ -114,22 +114,46 @@ def greedy_heads(
     if long_rows.limit(1).count() == 0:
         return heads
 
-    group = [*keys, "_run", "_c"]
-    in_run = Window.partitionBy(*keys, "_run").orderBy("_c")
-    blocks = (
-        blocks_of(long_rows, group).withColumn("_round", F.row_number().over(in_run)).checkpoint()
+    starts = long_rows.groupBy(*keys, "_run").agg(F.min("t").alias("t"))
+    jumps = _next_at_or_after(long_rows.select(*keys, "_run", "t"), [*keys, "_run"], interval, chunk).checkpoint()
+    return heads.unionByName(_follow(starts, jumps, [*keys, "_run"]).select(*keys, "t"))
+
+
+def _next_at_or_after(rows: DataFrame, group: list[str], interval: int, chunk: int) -> DataFrame:
+    """(group, t, next): the first time of the group that is at least ``interval`` after t.
+
+    Looked up within chunks of time; a chunk without one takes the first time of the
+    next chunk that has any, from one small row per chunk.
+    """
+    targets = rows.select(*group, F.col("t").alias("_x"), F.col("t").alias("_target"), F.lit(None).cast("bigint").alias("t"))
+    probes = rows.select(*group, (F.col("t") + F.lit(interval)).alias("_x"), F.lit(None).cast("bigint").alias("_target"), "t")
+    both = targets.unionByName(probes).withColumn("_c", F.floor(F.col("_x") / F.lit(chunk)))
+    after = Window.partitionBy(*group).orderBy("_c").rowsBetween(1, Window.unboundedFollowing)
+    later = (
+        both.groupBy(*group, "_c").agg(F.min("_target").alias("_first"))
+        .withColumn("_later", F.min("_first").over(after)).drop("_first")
+    )
+    # from the latest time to the earliest, and times before probes of the same moment
+    inside = Window.partitionBy(*group, "_c").orderBy(F.col("_x").desc(), F.col("_target").isNull())
+    so_far = F.min("_target").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        both.withColumn("_near", so_far).filter("t is not null").join(later, [*group, "_c"])
+        .select(*group, "t", F.coalesce("_near", "_later").alias("next")).filter("next is not null")
     )
-    rounds = blocks.agg(F.max("_round")).first()[0]
-    start = None
-    for r in range(1, rounds + 1):
-        now = blocks.filter(F.col("_round") == r)
-        if start is None:
-            now = now.withColumn("_last", F.lit(None).cast("bigint"))
-        else:
-            now = now.join(start, [*keys, "_run"], "left")
-        done = now.withColumn(
-            "_fold", _fold_heads(F.col("_times"), F.col("_last"), gap)
-        ).checkpoint()
-        heads = heads.unionByName(heads_of(done))
-        start = done.select(*keys, "_run", F.col("_fold.last").alias("_last"))
-    return heads
+
+
+def _follow(starts: DataFrame, jumps: DataFrame, group: list[str]) -> DataFrame:
+    """All (group, t) that the starts reach by jumps, in as many rounds as the logarithm of the longest way.
+
+    Jumps are doubled until none is left; then every doubled jump, the longest
+    first, is applied once to all that has been reached.
+    """
+    levels = []
+    while not jumps.isEmpty():
+        levels.append(jumps)
+        onward = jumps.select(*group, F.col("t").alias("next"), F.col("next").alias("_then"))
+        jumps = jumps.join(onward, [*group, "next"]).select(*group, "t", F.col("_then").alias("next")).checkpoint()
+    reached = starts.select(*group, "t")
+    for level in reversed(levels):
+        reached = reached.unionByName(reached.join(level, [*group, "t"]).select(*group, F.col("next").alias("t"))).checkpoint()
+    return reached.distinct()

@@ -66,3 +66,24 @@ def test_similar_pairs_equal_brute_force(spark):
         ids = [i for i in range(60) if i not in (5, 7, 9)]
         want = [(a, b) for a in ids for b in ids if a < b and m[a] @ m[b] / (norm[a] * norm[b]) > threshold]
         assert got == sorted(want + [(2, 5)])
+
+
+def test_heads_of_long_runs_follow_pointers(spark):
+    import random
+
+    from engram.operators.ordering import greedy_heads
+
+    rng = random.Random(6)
+    rows, want = [], []
+    for key in ("a", "b"):
+        t, last = 0, None
+        for _ in range(3000):
+            t += rng.randrange(1, 9)
+            rows.append((key, t))
+            if last is None or t - last >= 20:
+                last = t
+                want.append((key, t))
+    df = spark.createDataFrame(rows, "k string, t long")
+    for limit in (0, 20_000):
+        got = greedy_heads(df, ["k"], "t", 20, 64 * 20, fold_limit=limit).select("k", "t").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
