@@ -63,7 +63,7 @@ def contained_terms(
 
     Both columns must already be lower-cased when case is to be ignored. The
     size of the term side is checked: up to ``broadcast_terms`` rows
-    the anchors are broadcast and texts never move; beyond, only (key, gram)
+    the anchors are broadcast, without a shuffle of texts; beyond, only (key, gram)
     pairs are shuffled and the few candidates fetch their text back by key.
     ``stats`` may carry the ``term_stats`` of terms that are searched repeatedly.
     """
