@@ -25,6 +25,8 @@ FACTORS = 8
 SAMPLE = 30_000  # about so many labelled texts fit the machine
 THRESHOLD = 0.3
 SLICE = 500  # texts handled at a time
+STEEPNESS = 2.0
+PAIRS = 4e9  # so many pairs of terms in the texts are counted at most
 
 
 def term_sets(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +37,82 @@ def term_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return keys % TERMS, np.searchsorted(keys, np.arange(len(texts) + 1) * TERMS)
 
 
+def _surprise(toxic, seen, expected):
+    """Root of the deviance of ``toxic`` of ``seen`` texts where the share ``expected`` is."""
+    share = toxic / seen
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.where(toxic > 0, toxic * np.log(share / expected), 0) + np.where(seen > toxic, (seen - toxic) * np.log((1 - share) / (1 - expected)), 0)
+    return np.sqrt(2 * np.maximum(d, 0))
+
+
+def _trust(surprise, tests: float):
+    """From 0 to 1, a half where the greatest of ``tests`` surprises by chance alone is about to lie."""
+    return 1 / (1 + np.exp(-STEEPNESS * (surprise - np.sqrt(2 * np.log(max(tests, 2))))))
+
+
+def term_trust(terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, most: float = PAIRS) -> np.ndarray:
+    """How far each term may be learned: by what it says alone, or by what a pair of it says beyond its two terms.
+
+    Every pair is counted that lies in so many texts that it could be told from chance. With more than ``most``
+    pairs in the texts, they are counted in a random part of them.
+    """
+    base = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
+    seen = np.bincount(terms, minlength=TERMS)
+    toxic = np.bincount(terms, np.repeat(labels, np.diff(offsets)), minlength=TERMS)
+    used = np.flatnonzero(seen)
+    trust = np.zeros(TERMS)
+    trust[used] = _trust(_surprise(toxic[used], seen[used], base), len(used))
+    odds = np.log((toxic + base) / (seen - toxic + 1 - base)) - np.log(base / (1 - base))  # 0 for an unseen term
+    # a pair of n texts that all have the rarer label surprises by the root of -2 n log(share)
+    fewest = int(np.ceil(np.log(max(len(used), 2) ** 2 / 2) / -np.log(min(base, 1 - base))))
+    order = used[seen[used] >= fewest]
+    order = order[np.argsort(-seen[order], kind="stable")]
+    rank = np.full(TERMS, -1, dtype=np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    text = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(offsets))
+    held = rank[terms] >= 0
+    text, ranks = text[held], rank[terms[held]]
+    sizes = np.bincount(text, minlength=len(labels)).astype(float)
+    mixed = np.random.default_rng(29).permutation(len(labels))
+    taken = np.zeros(len(labels), dtype=bool)
+    taken[mixed[np.cumsum(sizes[mixed] ** 2 / 2) <= most]] = True
+    held = taken[text]
+    text, ranks = text[held], ranks[held]
+    by = np.lexsort((ranks, text))
+    text, ranks = text[by], ranks[by]
+    starts = np.searchsorted(text, np.arange(len(labels) + 1))[:-1]
+    places = np.argsort(ranks, kind="stable")
+    bounds = np.searchsorted(ranks[places], np.arange(len(order) + 1))
+    guilty = labels > 0
+    level, tests = odds[order] + np.log(base / (1 - base)), len(order) * (len(order) - 1) / 2
+    best = np.zeros(len(order))
+
+    def beside(at, size):
+        """In how many texts each more frequent term stands beside the one at these places."""
+        out = np.zeros(size, dtype=np.int64)
+        for lo in range(0, len(at), 4096):
+            first = starts[text[at[lo : lo + 4096]]]
+            lengths = at[lo : lo + 4096] - first
+            ends = np.cumsum(lengths)
+            out += np.bincount(ranks[np.arange(ends[-1]) + np.repeat(first - ends + lengths, lengths)], minlength=size)
+        return out
+
+    for i in range(1, len(order)):
+        at = places[bounds[i] : bounds[i + 1]]
+        if len(at) < fewest:
+            continue
+        both = beside(at, i)
+        other = np.flatnonzero(both >= fewest)
+        if len(other):
+            bad = beside(at[guilty[text[at]]], i)[other]
+            expected = 1 / (1 + np.exp(-np.clip(level[i] + odds[order[other]], -7, 7)))
+            surprise = _surprise(bad, both[other], expected)
+            best[i] = max(best[i], surprise.max())
+            best[other] = np.maximum(best[other], surprise)
+    trust[order] = np.maximum(trust[order], _trust(best, tests))
+    return trust
+
+
 class FactorizationMachine:
     def __init__(self, prior: float = 0.0, seed: int = 17):
         self.bias = prior
@@ -60,23 +138,19 @@ class FactorizationMachine:
         _, linear, sums, squares, scale, _ = self._parts(terms, offsets)
         return self.bias + linear + 0.5 * scale * ((sums**2).sum(axis=1) - squares)
 
-    def fit(self, terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = 40, rate: float = 0.5, keep: float = 1e-4, least: int = 3, clear: float = 4.5) -> FactorizationMachine:
-        """Log-loss with a penalty on the squares.
+    def fit(self, terms: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = 40, rate: float = 0.5, keep: float = 1e-4, least: int = 3) -> FactorizationMachine:
+        """Log-loss with a penalty on the squares; terms in fewer than ``least`` texts are not learned.
 
-        Terms in fewer than ``least`` texts, and those whose shares among toxic and other
-        texts lie less than ``clear`` standard errors apart, stay neutral: no text is learned by its own words.
+        The step of a term follows its evidence, alone or in a pair: what chance explains moves little, nothing is fixed.
         """
         rng = np.random.default_rng(23)
-        counts = np.bincount(terms, minlength=TERMS)
-        toxic = np.bincount(terms, np.repeat(labels, np.diff(offsets)), minlength=TERMS)
-        n1, n0 = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
-        share = (counts + 0.5) / (n1 + n0 + 1)
-        apart = np.abs(toxic / n1 - (counts - toxic) / n0) / np.sqrt(share * (1 - share).clip(1e-9) * (1 / n1 + 1 / n0))
-        common = (counts >= least) & (apart >= clear)
+        common = np.bincount(terms, minlength=TERMS) >= least
         self.factor[~common] = 0
         text = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(offsets))[common[terms]]
         terms = terms[common[terms]]
         offsets = np.searchsorted(text, np.arange(len(labels) + 1))
+        del text
+        trust = term_trust(terms, offsets, labels)
         seen_w, seen_v, seen_b = np.ones(TERMS, np.float32), np.ones((TERMS, FACTORS), np.float32), 1.0
         counts = np.diff(offsets)
         for _ in range(epochs):
@@ -85,18 +159,22 @@ class FactorizationMachine:
                 some = order[lo : lo + 128]
                 own = np.concatenate([terms[offsets[i] : offsets[i + 1]] for i in some])
                 bounds = np.concatenate(([0], np.cumsum(counts[some])))
-                text, linear, sums, squares, scale, v = self._parts(own, bounds)
+                text, linear, sums, squares, scale, _ = self._parts(own, bounds)
                 z = self.bias + linear + 0.5 * scale * ((sums**2).sum(axis=1) - squares)
                 error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]
                 g = error[text]
-                slots, back = np.unique(own, return_inverse=True)
-                grad_w = np.bincount(back, g) + keep * self.weight[slots]
+                key = np.sort((own.astype(np.int64) << 32) | np.arange(len(own)))
+                by, own = key & 0xFFFFFFFF, key >> 32
+                begins = np.flatnonzero(np.diff(own, prepend=-1))
+                slots = own[begins]
+                total = lambda x: np.add.reduceat(x[by], begins, axis=0) if len(by) else x
+                grad_w = total(g) + keep * self.weight[slots]
                 seen_w[slots] += grad_w**2
-                self.weight[slots] -= rate * grad_w / np.sqrt(seen_w[slots])
-                pull = (g * scale[text])[:, None] * (sums[text] - v)
-                grad_v = np.stack([np.bincount(back, pull[:, f]) for f in range(FACTORS)], axis=1) + keep * self.factor[slots]
+                self.weight[slots] -= rate * trust[slots] * grad_w / np.sqrt(seen_w[slots])
+                pull = g * scale[text]
+                grad_v = total((pull[:, None] * sums[text]).astype(np.float32)) - total(pull)[:, None] * self.factor[slots] + keep * self.factor[slots]
                 seen_v[slots] += grad_v**2
-                self.factor[slots] -= 0.5 * rate * grad_v / np.sqrt(seen_v[slots])
+                self.factor[slots] -= 0.5 * rate * trust[slots, None] * grad_v / np.sqrt(seen_v[slots])
                 seen_b += error.sum() ** 2
                 self.bias -= rate * error.sum() / np.sqrt(seen_b)
         return self

@@ -201,6 +201,28 @@ def test_toxicity_learns_pairs():
     assert v[0] @ v[1] > 0
 
 
+def test_toxicity_learns_pairs_of_terms_neutral_alone():
+    rng = np.random.default_rng(3)
+    fillers = [f"w{i}" for i in range(400)]
+    texts, labels = [], []
+    for k in range(4000):
+        own = list(rng.choice(fillers, 15))
+        toxic = k % 10 == 0
+        # each stands in a fifth of the toxic and of the other texts, but only in toxic ones together
+        own += ["insult", "group"] if toxic and k % 50 == 0 else ["slur"] if toxic else [[], [], [], ["insult"], ["group"]][k // 10 % 5]
+        texts.append(" ".join(own))
+        labels.append(float(toxic))
+    terms, offsets = toxicity.term_sets(texts)
+    labels = np.array(labels)
+    toxic = np.bincount(terms, np.repeat(labels, np.diff(offsets)), minlength=toxicity.TERMS)
+    seen = np.bincount(terms, minlength=toxicity.TERMS)
+    machine = toxicity.FactorizationMachine(-2.2).fit(terms, offsets, labels)
+    insult, group = (toxicity.term_sets([t])[0][0] for t in ("insult", "group"))
+    assert all(abs(toxic[t] / 400 - (seen[t] - toxic[t]) / 3600) < 0.01 for t in (insult, group))
+    z = {t: machine.logits(*toxicity.term_sets([t]))[0] for t in ("w1 w2 w3 insult group", "w1 w2 w3 insult", "w1 w2 w3 group", "w1 w2 w3", "w1 w2 slur")}
+    assert min(z["w1 w2 w3 insult group"], z["w1 w2 slur"]) > 0 > max(z["w1 w2 w3 insult"], z["w1 w2 w3 group"], z["w1 w2 w3"])
+
+
 def test_toxicity_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
