@@ -38,6 +38,12 @@ BLOCK_TAGS = frozenset(
 )
 SKIPPED_TAGS = frozenset("head iframe math noembed noframes noscript object script style svg template textarea title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements that may lie in head, and elements that HTML does not start within svg or math but after them.
+HEAD_TAGS = frozenset("base basefont bgsound command link meta noframes noscript script style template title".split())
+BREAKOUT_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike "
+    "sub sup table tt u ul var".split()
+)
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes".split())
 # Words of class and id attributes and tags that say what a block is.
 ASIDE_WORDS = frozenset(
@@ -81,8 +87,16 @@ def blocks_of(page: str | None) -> list[Block]:
         held.clear()
         linked = 0
 
+    def end_from(tags: frozenset[str]) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                del stack[i:]
+                break
+
     def said(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()  # head holds no text: the body begins
         if text and not any(tag in SKIPPED_TAGS for tag, _ in stack):
             held.append(text)
             if any(tag == "a" for tag, _ in stack):
@@ -99,6 +113,12 @@ def blocks_of(page: str | None) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
+        if not slash:
+            # what cannot lie in an open head, svg or math ends it
+            if tag in BREAKOUT_TAGS and stack and not any(t in ("foreignobject", "desc", "annotation-xml") for t, _ in stack):
+                end_from(frozenset(("svg", "math")))
+            if tag == "body" or stack and stack[-1][0] == "head" and tag not in HEAD_TAGS | {"head", "html"}:
+                end_from(frozenset(("head",)))
         if tag == "br":
             said(" ")
             continue
@@ -114,13 +134,13 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in VOID_TAGS or rest.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in BLOCK_TAGS:
+        if tag in BLOCK_TAGS and tag != "title":
             # an open paragraph ends here, with what is open in it; so does an item of the same kind
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or tag in _CLOSED_BY_SAME and stack[i][0] == tag:
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCK_TAGS:
+                if stack[i][0] in BLOCK_TAGS or stack[i][0] == "foreignobject":
                     break
         if tag in RAW_TAGS:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)

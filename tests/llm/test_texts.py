@@ -253,6 +253,18 @@ def test_blocks():
     assert [b.text for b in html_text.blocks_of("a < b &lt; c")] == ["a < b < c"]
 
 
+def test_blocks_after_open_head_and_skipped_elements():
+    told = lambda page: [b.text for b in html_text.blocks_of(page)]
+    for start in ("<body>", "", "<main>", "<img src=x>", "<BODY class='a'>", "<br>"):
+        assert told(f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style><link href=x>{start}<p>One</p><p>Two</p>") == ["One", "Two"]
+    assert told("<head><title>T</title>Bare text<p>One") == ["Bare text", "One"]
+    assert told("<head><title>T</title><noscript><p>off</p><body><p>One</p>") == ["One"]
+    assert told("<body><svg><path d=x><text>drawn<p>One</p><p>Two</p></body>") == ["One", "Two"]
+    assert told("<body><div><object>in</div><p>One</p><div><noscript>off</div><p>Two</p>") == ["One", "Two"]
+    assert told("<head><title>T</title></head><body><p>a <svg><title>t</title><text>drawn</text></svg> b</p>") == ["a", "b"]
+    assert told("<p>a <svg><foreignObject><div>drawn</div></foreignObject></svg> b</p>") == ["a", "b"]
+
+
 def test_labeller_gradient():
     rng = np.random.default_rng(0)
     pages = [html_text.encode_page(html_text.blocks_of(PAGE)), html_text.encode_page(html_text.blocks_of(PAGE)[:4])]
