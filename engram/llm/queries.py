@@ -141,3 +141,47 @@ def op5_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+#: CRC32 in SQL: a table of 256 steps, then one step per digit
+OP13_SQL = r"""
+WITH RECURSIVE steps(i, k, v) AS (
+  SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc(c, k, v) AS (
+  SELECT DISTINCT conv_id, 0, CAST(4294967295 AS BIGINT) FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT c, crc.k + 1, xor(s.v, crc.v >> 8) FROM crc JOIN steps s
+    ON s.k = 8 AND s.i = xor(crc.v & 255, CAST(ascii(substr(CAST(c AS VARCHAR), crc.k + 1, 1)) AS BIGINT))
+  WHERE crc.k < length(CAST(c AS VARCHAR))),
+heads AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE k = length(CAST(c AS VARCHAR))),
+said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || t)) - 1 AS i,
+    {'r': r, 't': t} AS s
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+lists AS (SELECT conv_id AS c, list(s ORDER BY i) AS l FROM said GROUP BY conv_id),
+rebuilt AS (
+  SELECT lists.c, list_concat(coalesce(o.l, [])[1:h], lists.l[h + 1:]) AS l
+  FROM lists JOIN heads USING (c) LEFT JOIN lists o ON o.c = lists.c - lists.c % 5),
+prefixes AS (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt),
+nodes AS (
+  SELECT l[1:d] AS p, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(l) = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL),
+children AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+measured AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(p[d].t) END AS saved
+  FROM nodes LEFT JOIN children USING (p)),
+spread AS (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS e FROM measured),
+subtrees AS (SELECT p[1:e] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM spread GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, parent.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM measured m JOIN subtrees USING (p) LEFT JOIN nodes parent ON m.d > 0 AND parent.p = m.p[1:m.d - 1]
+"""
+
+
+@query("op13_conversation_trie", OP13_SQL)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
