@@ -185,3 +185,46 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.prefix_trie import conversation_trie
 
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def _op12_sql() -> str:
+    """Every window of every template against the whole texts, without filters."""
+    from engram.llm.licenses import PHRASES, TEMPLATES, THRESHOLD
+
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES)
+    templates = ", ".join(f"('{label}', list_distinct(string_split('{words}', ' ')))" for label, words in TEMPLATES)
+    return rf"""
+WITH phrases(p, label) AS (SELECT string_split(p, ' '), label FROM (VALUES {phrases}) t(p, label)),
+templates(label, w) AS (VALUES {templates}),
+words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+places AS (
+  SELECT doc_id, label, pos FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM words) x
+  JOIN phrases ON x.w[pos + 1] = p[1] AND x.w[pos + 1:pos + len(p)] = p),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS labels FROM places GROUP BY doc_id),
+windows AS (
+  SELECT doc_id, label, templates.w AS t, unnest(range(0, len(words.w), len(templates.w))) AS pos, words.w AS w FROM words, templates),
+shares AS (SELECT doc_id, label, len(list_intersect(t, w[pos + 1:pos + 2 * len(t)])) / len(t) AS share FROM windows),
+held AS (
+  SELECT doc_id, list_sort(list(DISTINCT label)) AS labels, max(share) AS score FROM shares WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(words.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(coalesce(base.labels, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(held.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
+
+
+@query("op12_license_templates", _op12_sql())
+def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.licenses import find_licenses
+
+    found = find_licenses(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.array_union("base_labels", "template_labels"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"), "score",
+    )
