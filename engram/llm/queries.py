@@ -228,3 +228,10 @@ def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join(every, ",").alias("labels"), "score",
     )
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.token_alignment import alignment_counts
+
+    return alignment_counts(table(spark, sf_dir, "documents"))
