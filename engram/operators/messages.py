@@ -397,27 +397,30 @@ def min_interval_gate(
     """``accepted``: first of its time and at least ``seconds`` after the last accepted.
 
     Rows that are not ``eligible`` never move the gate; ``since_accepted`` tells
-    every row how many microseconds ago the gate last moved.
+    every row how many microseconds ago the gate last moved. A null key is a key like others. A row without a time
+    is never accepted and has no ``since_accepted``. Every row comes out as often as it went in.
     """
     interval = int(seconds * 1_000_000)
     chunk = max(interval, 60_000_000) * 64
-    whole = df.withColumn("_ok", F.lit(True) if eligible is None else eligible)
-    # only what the gate looks at goes through its joins; the rows themselves are joined once at the end
+    ok = F.col("ts").isNotNull() if eligible is None else F.coalesce(eligible, F.lit(False)) & F.col("ts").isNotNull()
+    # only what the gate looks at goes through its joins; the rows themselves are joined once at the end. Structs
+    # with null fields are equal to each other, nulls are not
     narrow = list(dict.fromkeys([*keys, *order, "ts"]))
-    rows = whole.select(*narrow, "_ok").distinct().withColumn("_t", F.unix_micros("ts"))
-    heads = greedy_heads(rows.filter("_ok"), keys, "_t", interval, chunk)
-    winner = rows.filter("_ok").groupBy(*keys, "_t").agg(F.min(F.struct(*order)).alias("_w"))
-    accepted = heads.join(winner.withColumnRenamed("_t", "t"), [*keys, "t"])
-    last = _last_at_or_before(rows, heads, keys, chunk)
-    verdicts = (
-        last.join(accepted.withColumnRenamed("t", "_t"), [*keys, "_t"], "left")
-        .withColumn(
-            "accepted",
-            F.coalesce(F.col("_ok") & (F.struct(*order) == F.col("_w")), F.lit(False)),
-        )
-        .select(*narrow, "_ok", "accepted", (F.col("_t") - F.col("_head")).alias("since_accepted"))
+    whole = df.withColumn("_ok", ok).withColumn("_row", F.struct(*narrow, "_ok"))
+    rows = whole.filter("ts is not null").select(
+        F.struct(*keys).alias("_key"), "_row", "_ok", F.struct(*order).alias("_order"), F.unix_micros("ts").alias("_t")
+    ).distinct()
+    heads = greedy_heads(rows.filter("_ok"), ["_key"], "_t", interval, chunk)
+    winner = rows.filter("_ok").groupBy("_key", "_t").agg(F.min("_order").alias("_w"))
+    accepted = heads.join(winner.withColumnRenamed("_t", "t"), ["_key", "t"])
+    last = _last_at_or_before(rows, heads, ["_key"], chunk)
+    verdicts = last.join(accepted.withColumnRenamed("t", "_t"), ["_key", "_t"], "left").select(
+        "_row", F.coalesce(F.col("_ok") & (F.col("_order") == F.col("_w")), F.lit(False)).alias("_accepted"),
+        (F.col("_t") - F.col("_head")).alias("since_accepted"),
+    )
+    return whole.join(verdicts, "_row", "left").select(
+        *df.columns, F.coalesce("_accepted", F.lit(False)).alias("accepted"), "since_accepted"
     )
-    return whole.join(verdicts, [*narrow, "_ok"]).select(*df.columns, "accepted", "since_accepted")
 
 
 def _last_at_or_before(rows: DataFrame, heads: DataFrame, keys: list[str], chunk: int) -> DataFrame:
@@ -465,30 +468,32 @@ def guard(df: DataFrame, keys: list[str], order: list[str], seconds: float = lx.
 
 
 def rate_counter(df: DataFrame, keys: list[str], order: list[str], seconds: float, limit: int) -> DataFrame:
-    """Fixed windows that open at the first event after the last window ended."""
+    """Fixed windows that open at the first event after the last window ended.
+
+    Places in a window are counted per slice of it, so one busy window is not one task's work. A null key is a key like
+    others. A row without a time is in no window and not allowed. Every row comes out as often as it went in.
+    """
     from pyspark.sql import Window
 
     interval = int(seconds * 1_000_000)
     chunk = max(interval, 60_000_000) * 64
     narrow = list(dict.fromkeys([*keys, *order, "ts"]))
-    rows = df.select(*narrow).withColumn("_t", F.unix_micros("ts"))
-    heads = greedy_heads(rows, keys, "_t", interval, chunk)
-    opened = _last_at_or_before(rows, heads, keys, chunk)
-    inside = Window.partitionBy(*keys, "_head").orderBy("_t", *order)
+    # rows that agree in all of these columns keep places of their own: they are numbered on both sides
+    whole = df.withColumn("_row", F.struct(*narrow))
+    whole = whole.withColumn("_same", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(1))))
+    rows = whole.filter("ts is not null").select(
+        F.struct(*keys).alias("_key"), "_row", "_same", F.struct(*order).alias("_order"), F.unix_micros("ts").alias("_t")
+    )
+    heads = greedy_heads(rows, ["_key"], "_t", interval, chunk)
+    opened = _last_at_or_before(rows, heads, ["_key"], chunk)
+    placed = running_index(opened, ["_key", "_head"], ["_t", "_order", "_same"], F.floor(F.col("_t") / max(interval // 64, 1)), "n_in_window")
     left = F.ceil((F.col("_head") + interval - F.col("_t")) / F.lit(1_000_000.0))
-    counted = (
-        opened.withColumn("n_in_window", F.row_number().over(inside))
-        .withColumn("allowed", F.col("n_in_window") <= limit)
-        .withColumn("retry_after", F.when(~F.col("allowed"), left))
-        .withColumn("window_start", F.timestamp_micros("_head"))
-        .drop("_t", "_head")
+    counted = placed.select(
+        "_row", "_same", F.col("n_in_window").cast("int").alias("n_in_window"), (F.col("n_in_window") <= limit).alias("_allowed"), left.alias("_left"),
+        F.timestamp_micros("_head").alias("window_start"),
     )
-    # rows that agree in all of these columns keep places of their own: they are numbered on both sides
-    same = Window.partitionBy(*narrow)
-    counted = counted.withColumn("_same", F.row_number().over(same.orderBy("n_in_window")))
-    whole = df.withColumn("_same", F.row_number().over(same.orderBy(F.lit(1))))
-    return whole.join(counted, [*narrow, "_same"]).drop("_same").select(
-        *df.columns, "n_in_window", "allowed", "retry_after", "window_start"
+    return whole.join(counted, ["_row", "_same"], "left").select(
+        *df.columns, "n_in_window", F.coalesce("_allowed", F.lit(False)).alias("allowed"), F.when(~F.col("_allowed"), F.col("_left")).alias("retry_after"), "window_start"
     )
 
 

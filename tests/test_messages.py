@@ -90,3 +90,22 @@ def test_running_index_is_position(spark):
     df = spark.range(1000).withColumn("k", F.col("id") % 3).repartition(5)
     out = running_index(df, ["k"], ["id"], F.floor(F.col("id") / 17))
     assert all(r["position"] == r["id"] // 3 + 1 for r in out.collect())
+
+
+def test_gates_keep_rows_without_key_order_or_time(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(None, 1, t0), (None, 2, t0 + timedelta(seconds=1)), ("a", None, t0), ("a", 3, t0 + timedelta(seconds=9)), ("a", 4, None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "who string, seq int, ts timestamp")
+    gated = m.min_interval_gate(df, ["who"], 5, ["seq"]).collect()
+    assert sorted(((r["who"], r["seq"], r["accepted"]) for r in gated), key=str) == sorted(
+        [(None, 1, True), (None, 2, False), ("a", None, True), ("a", 3, True), ("a", 4, False), (None, None, False), (None, None, False)], key=str
+    )
+    assert {r["since_accepted"] for r in gated if r["ts"] is None} == {None}
+    counted = m.rate_counter(df, ["who"], ["seq"], 60, 1).collect()
+    assert sorted(((r["who"], r["seq"], r["n_in_window"], r["allowed"]) for r in counted), key=str) == sorted(
+        [(None, 1, 1, True), (None, 2, 2, False), ("a", None, 1, True), ("a", 3, 2, False), ("a", 4, None, False), (None, None, None, False), (None, None, None, False)], key=str
+    )
+    texts = df.withColumn("text", F.lit("a message that is long enough")).drop("seq").withColumn("seq", F.monotonically_increasing_id())
+    assert m.guard(texts, ["who"], ["seq"]).count() == len(rows)
