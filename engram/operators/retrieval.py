@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +11,12 @@ from engram.functions import lexicons as lx
 from engram.functions.scores import effective_confidence, half_if_missing, recency, text_match
 from engram.functions.text import contains_any, first_match, labels_where, matches, no_strings, query_words
 from engram.operators.graph import neighbors_of_type, undirected
-from engram.operators.matching import BROADCAST_TERMS, alias_index, contained_terms, grams, term_stats, top_per
+from engram.operators.matching import alias_index, contained_terms, grams, top_per
+from engram.operators.postings import posting_lists, rows_of_queries
 from engram.operators.vectors import knn
 from engram.session import use_checkpoints
 
 MAX_NAME_LENGTHS = 256
-MAX_VOCABULARY = 2000
 HIT_COLUMNS = [
     "query_id", "memory_type", "id", "name", "type", "content", "text_match", "graph_proximity",
     "importance", "recency", "confidence", "stated", "execution_count", "success_rate", "found",
@@ -126,39 +125,11 @@ def words_of(queries: DataFrame) -> DataFrame:
 
 
 class Words:
-    """The query words and, measured once, how many there are.
-
-    ``table`` lists the distinct words with their queries when both are few.
-    """
+    """The distinct words of every query, and the queries in lower case."""
 
     def __init__(self, queries: DataFrame) -> None:
         self.rows = words_of(queries)
         self.lows = queries.select("query_id", F.lower("text").alias("query_low"))
-        self.stats = term_stats(self.rows, "word")
-        self.table = None
-        if sum(r["n"] for r in self.stats) <= BROADCAST_TERMS:
-            per_word = self.rows.groupBy("word").agg(F.collect_set("query_id").alias("ids"))
-            few = per_word.limit(MAX_VOCABULARY + 1).collect()
-            if len(few) <= MAX_VOCABULARY:
-                self.table = json.dumps([{"w": r["word"], "q": sorted(r["ids"])} for r in few])
-
-
-def keyword_hits(rows: DataFrame, searched: Column, words: Words, keep: list[str]) -> DataFrame:
-    """(query_id, keep...) for rows whose text holds any query word, each pair once.
-
-    With a small vocabulary every text is scanned once for all words and turned
-    into its distinct queries inside the row. Otherwise the containment join
-    emits a pair for the first matching word only. Neither shuffles the texts.
-    """
-    texts = rows.select(*keep, searched.alias("_text"))
-    if words.table is not None:
-        table = F.from_json(F.lit(words.table), "array<struct<w:string,q:array<bigint>>>")
-        found = F.filter(table, lambda s: F.col("_text").contains(s["w"]))
-        ids = F.array_distinct(F.flatten(F.transform(found, lambda s: s["q"])))
-        return texts.select(*keep, F.explode(ids).alias("query_id"))
-    hits = contained_terms(texts, "_text", words.rows, "word", ["id"], stats=words.stats)
-    first = F.element_at(F.filter("words", lambda w: F.col("_text").contains(w)), 1)
-    return hits.filter(F.col("word") == first).select("query_id", *keep)
 
 
 # --- content ---------------------------------------------------------------------------
@@ -239,8 +210,8 @@ def node_hits(queries: DataFrame, words: Words, nodes: DataFrame, as_of, limit:
         F.concat_ws("\u0001", "name", "context", "significance", F.array_join("aliases", "\u0001"), attributes)
     )
     order = [F.col("confidence").desc(), F.col("id")]
-    found = top_per(keyword_hits(nodes, searched, words, ["id", "confidence"]), ["query_id"], order, 3 * limit)
-    found = found.withColumn("word_rank", _rank(order)).select("query_id", "id", "word_rank")
+    found = rows_of_queries(nodes, searched, words.rows, ["id", "confidence"], order, 3 * limit)
+    found = found.select("query_id", "id", F.col("place").alias("word_rank"))
     lows = queries.select("query_id", F.lower("text").alias("query_low"))
     merged = near.join(found, ["query_id", "id"], "full_outer").join(lows, "query_id").join(nodes.drop("embedding"), "id")
     is_near = F.col("near_rank").isNotNull()
@@ -273,10 +244,8 @@ def episode_hits(
     topics = [F.array_join("topics", "\u0001")] if match_topics else []
     searched = F.lower(F.concat_ws("\u0001", *[F.col(c) for c in fields], *topics))
     order = [F.col("importance_score").desc(), F.col("id")]
-    found = top_per(
-        keyword_hits(episodes, searched, words, ["id", "importance_score"]), ["query_id"], order, 2 * limit
-    )
-    found = found.withColumn("word_rank", _rank(order)).select("query_id", "id", "word_rank")
+    found = rows_of_queries(episodes, searched, words.rows, ["id", "importance_score"], order, 2 * limit)
+    found = found.select("query_id", "id", F.col("place").alias("word_rank"))
     lows = queries.select("query_id", F.lower("text").alias("query_low"))
     merged = (
         near.join(found, ["query_id", "id"], "full_outer").join(lows, "query_id")
@@ -295,9 +264,9 @@ def episode_hits(
 def search_lessons(words: Words, lessons: DataFrame, as_of, limit: int) -> DataFrame:
     searched = F.lower(F.concat_ws("\u0001", "statement", "prevention_rule"))
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "important", 1).otherwise(2)
-    keep = [c for c in ["id", "statement", "prevention_rule", "severity", "times_reinforced", "created_at"]]
     order = [rank, F.col("times_reinforced").desc(), F.col("id")]
-    found = top_per(keyword_hits(lessons, searched, words, keep), ["query_id"], order, limit).join(words.lows, "query_id")
+    found = rows_of_queries(lessons, searched, words.rows, ["id", "severity", "times_reinforced"], order, limit).select("query_id", "id")
+    found = found.join(lessons, "id").join(words.lows, "query_id")
     return _hit(
         found, "lesson", 2, F.lit(0), content=lesson_content(),
         text_match=text_match(F.col("query_low"), [F.col("statement"), F.col("prevention_rule")]),
@@ -309,9 +278,7 @@ def search_lessons(words: Words, lessons: DataFrame, as_of, limit: int) -> DataF
 
 def search_identity(words: Words, identity: DataFrame) -> DataFrame:
     searched = F.lower(F.concat_ws("\u0001", "key", "value", "category"))
-    found = keyword_hits(identity, searched, words, ["id", "key", "value", "category", "times_affirmed"]).join(
-        words.lows, "query_id"
-    )
+    found = rows_of_queries(identity, searched, words.rows, ["id"]).join(identity, "id").join(words.lows, "query_id")
     return _hit(
         found, "identity", 3, F.lit(0), content=identity_content(),
         text_match=text_match(F.col("query_low"), [F.col("key"), F.col("value")]),
@@ -327,9 +294,9 @@ def search_procedures(words: Words, procedures: DataFrame, as_of, limit: int) ->
             "\u0001", "name", F.to_json("steps"), F.to_json(F.struct(F.col("trigger_phrases").alias("phrases")))
         )
     )
-    keep = ["id", "name", "type", "steps", "confidence", "execution_count", "success_count", "last_executed"]
     order = [F.col("confidence").desc(), F.col("id")]
-    found = top_per(keyword_hits(procedures, searched, words, keep), ["query_id"], order, limit).join(words.lows, "query_id")
+    found = rows_of_queries(procedures, searched, words.rows, ["id", "confidence"], order, limit).select("query_id", "id")
+    found = found.join(procedures, "id").join(words.lows, "query_id")
     ran = F.col("execution_count") > 0
     return _hit(
         found, "procedure", 4, F.lit(0), name=F.col("name"), type=F.col("type"), content=procedure_content(),
@@ -379,6 +346,33 @@ def section_text_score() -> Column:
     return F.least(F.lit(1.0), near + in_head * 0.05)
 
 
+def _contenders(words: Words, prepared: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id) of the sections that can be among the ``limit`` best of a query, from narrow rows alone.
+
+    How many words of the query a section and its heading have follows from the posting lists. What that leaves open,
+    the whole query as a phrase and words close together, bounds the score on both sides; a section whose greatest score is
+    below the ``limit``-th of the least ones is out, and only the others fetch their text.
+    """
+    lists = posting_lists(prepared, F.col("_low"), words.rows, ["id", "_base"]).withColumn("_head", F.lit(0))
+    in_head = posting_lists(prepared, F.lower("heading"), words.rows, ["id", "_base"]).withColumn("_head", F.lit(1))
+    each = words.rows.select("query_id", "word", F.size(F.filter("words", lambda w: w == F.col("word"))).alias("_times"), F.size("words").alias("_n"))
+    found = lists.unionByName(in_head).join(each, "word").groupBy("query_id", "id", "word").agg(
+        F.max("_base").alias("_base"), F.max("_head").alias("_head"), F.max("_times").alias("_times"), F.max("_n").alias("_n")
+    )
+    found = found.groupBy("query_id", "id").agg(
+        F.max("_base").alias("_base"), F.max("_n").alias("_n"), F.sum("_times").alias("_m"), F.sum(F.col("_times") * F.col("_head")).alias("_h")
+    )
+    share = F.col("_m") / F.col("_n") * 0.85
+    phrase = F.when(F.col("_m") == F.col("_n"), F.greatest(share, F.lit(0.95))).otherwise(share)
+    most = F.when(F.col("_m") >= 2, F.least(F.lit(1.0), phrase + 0.1)).otherwise(phrase)
+    rest = F.least(F.lit(1.0), F.col("_h") * 0.3) * 0.2 + F.col("_base")
+    of = lambda text: F.least(F.lit(1.0), text + F.col("_h") * 0.05) * 0.5 + rest
+    bounded = found.select("query_id", "id", of(share).alias("_least"), of(most).alias("_most"))
+    best = top_per(bounded, ["query_id"], [F.col("_least").desc(), F.col("id")], limit)
+    bar = best.groupBy("query_id").agg(F.when(F.count("*") >= limit, F.min("_least")).otherwise(0.0).alias("_bar"))
+    return bounded.join(bar, "query_id").filter(F.col("_most") >= F.col("_bar") - 1e-6).select("query_id", "id")
+
+
 def search_sections(
     queries: DataFrame, sections: DataFrame, as_of, limit: int, min_score: float = 0.15, words: Words | None = None
 ) -> DataFrame:
@@ -390,8 +384,7 @@ def search_sections(
     prepared = section_scores(sections, as_of)
     words = Words(queries) if words is None else words
     asked = queries.select("query_id", F.lower("text").alias("query_low"), query_words(F.lower("text")).alias("words"))
-    found = keyword_hits(prepared, F.col("_low"), words, prepared.columns)
-    matched = found.join(asked, "query_id")
+    matched = _contenders(words, prepared, limit).join(prepared, "id").join(asked, "query_id")
     wordless = asked.filter(F.size("words") == 0)
     if wordless.limit(1).count() > 0:
         phrase = contained_terms(prepared, "_low", wordless, "query_low", ["id"])
@@ -467,22 +460,24 @@ def graph_proximity(hits: DataFrame, nodes: DataFrame, edges: DataFrame, seeds:
         nodes.select(F.col("id").alias("dst"), "name"), "name"
     )
     both = undirected(edges)
+    # the neighbours of a seed are the same for every query that has it
     near = (
-        first.join(both, F.col("seed") == F.col("src"))
+        first.select("seed").distinct().join(both, F.col("seed") == F.col("src"))
         .filter("src <> dst")
         .join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("mid_name")), "dst")
     )
     middle = (
         top_per(
-            near, ["query_id", "seed"],
+            near, ["seed"],
             [F.col("strength").desc(), F.col("mid_name"), F.upper("relationship"), F.col("dst")], fan_out,
         )
-        .select("query_id", "seed", "seed_name", "mid_name")
+        .select("seed", "mid_name")
         .distinct()
         .join(nodes.select(F.col("id").alias("src"), F.col("name").alias("mid_name")), "mid_name")
         .drop("mid_name")
+        .join(first, "seed")
     )
-    links = both.select("src", "dst").distinct()
+    links = both.select("src", "dst")
     one = (
         first.withColumn("src", F.col("seed")).join(ends, "query_id").filter("src <> dst")
         .withColumn("depth", F.lit(1))

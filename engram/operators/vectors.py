@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,21 +27,38 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _best(sims: np.ndarray, query_ids, item_ids, k: int, min_sim: float) -> pd.DataFrame:
-    """Rows (query, item, sim) that can be in the first k of this batch, ties kept."""
-    if len(item_ids) > k:
-        cut = np.partition(sims, len(item_ids) - k, axis=0)[len(item_ids) - k]
-        keep = (sims >= cut) & (sims >= min_sim)
-    else:
-        keep = sims >= min_sim
-    rows, cols = np.nonzero(keep)
-    return pd.DataFrame(
-        {
-            "query_id": np.asarray(query_ids)[cols],
-            "item_id": np.asarray(item_ids, dtype=object)[rows],
-            "similarity": sims[rows, cols],
-        }
-    )
+class _Running:
+    """The k best items per query of what a task has seen, ties by item id."""
+
+    def __init__(self, query_ids, k: int, min_sim: float):
+        self.query_ids, self.k, self.min_sim = np.asarray(query_ids), k, min_sim
+        self.bar = np.full(len(self.query_ids), min_sim)
+        self.held: list[pd.DataFrame] = []
+        self.size = 0
+
+    def add(self, sims: np.ndarray, item_ids) -> None:
+        rows, cols = np.nonzero(sims >= self.bar)
+        self.held.append(pd.DataFrame({"at": cols, "item_id": pd.Series(np.asarray(item_ids, dtype=object)[rows], dtype=object), "similarity": sims[rows, cols]}))
+        self.size += len(rows)
+        if self.size > max(100_000, 4 * self.k * len(self.query_ids)):
+            self._prune()
+
+    def _prune(self) -> pd.DataFrame:
+        best = pd.concat(self.held, ignore_index=True).sort_values(["at", "similarity", "item_id"], ascending=[True, False, True])
+        place = best.groupby("at").cumcount()
+        best = best[place < self.k]
+        full = best.groupby("at")["similarity"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.bar[full.index.to_numpy()] = full["min"].to_numpy()
+        self.held, self.size = [best], len(best)
+        return best
+
+    def rows(self) -> pd.DataFrame:
+        if not self.held:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "item_id": pd.Series(dtype=object), "similarity": np.zeros(0)})
+        best = self._prune()
+        items = pd.Series(best["item_id"].to_numpy(object), dtype=object)
+        return pd.DataFrame({"query_id": self.query_ids[best["at"].to_numpy()], "item_id": items, "similarity": best["similarity"].to_numpy()})
 
 
 def knn(
@@ -53,9 +71,8 @@ def knn(
 ) -> DataFrame:
     """Top k items by cosine per query: (query_id, item_id, similarity, rank).
 
-    Exact. At most ``query_block`` + 1 queries are fetched to check their number: up to ``query_block`` queries travel to
-    the tasks as one matrix and items never move; beyond, queries are cut into
-    blocks and every block meets every chunk of items in its own group.
+    Exact. Queries travel to the tasks as matrices of about ``query_block`` rows; every matrix
+    goes over the items once, and a task passes on the k best items per query that it has seen. Items never move.
     """
     spark = items.sparkSession
     queries = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
@@ -66,43 +83,28 @@ def knn(
     schema = f"query_id bigint, item_id {id_type}, similarity double"
     rows = queries.limit(query_block + 1).collect()
     if len(rows) <= query_block:
-        ids = [r["query_id"] for r in rows]
-        matrix = _unit([r["embedding"] for r in rows]) if rows else None
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        blocks = [rows]
+    else:
+        n = math.ceil(queries.count() / query_block)
+        of = F.pmod(F.xxhash64("query_id"), F.lit(n))
+        blocks = (queries.filter(of == i).collect() for i in range(n))
+
+    def scored(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], _unit([r["embedding"] for r in rows]) if rows else None))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             query_ids, query_matrix = shared.value
+            best = _Running(query_ids, k, min_similarity)
             for batch in batches:
-                if query_matrix is None or batch.empty:
-                    continue
-                sims = np.round(_unit(batch["embedding"]) @ query_matrix.T, 9)
-                yield _best(sims, query_ids, batch["item_id"].to_numpy(), k, min_similarity)
+                if query_matrix is not None and len(batch):
+                    best.add(np.round(_unit(batch["embedding"]) @ query_matrix.T, 9), batch["item_id"].to_numpy())
+            yield best.rows()
 
-        scored = items.mapInPandas(score, schema)
-    else:
-        blocks = math.ceil(queries.count() / (query_block // 2))
-        chunks = max(1, math.ceil(items.count() / 50_000))
-        left = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-            "_c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-        )
-        right = items.withColumn("_c", F.pmod(F.xxhash64("item_id"), F.lit(chunks))).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        )
-        key = [F.col("_b").cast("int").alias("_b"), F.col("_c").cast("int").alias("_c")]
-        left = left.select(*key, "query_id", "embedding")
-        right = right.select(*key, "item_id", "embedding")
-
-        def score_block(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or i.empty:
-                return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-            sims = np.round(_unit(i["embedding"]) @ _unit(q["embedding"]).T, 9)
-            return _best(sims, q["query_id"].to_numpy(), i["item_id"].to_numpy(), k, min_similarity)
-
-        scored = (
-            left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(score_block, schema)
-        )
+        return items.mapInPandas(score, schema)
+
+    every = reduce(DataFrame.unionByName, [scored(b) for b in blocks])
     order = [F.col("similarity").desc(), F.col("item_id")]
-    best = top_per(scored, ["query_id"], order, k)
+    best = top_per(every, ["query_id"], order, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return best.withColumn("rank", rank)
 

@@ -87,3 +87,53 @@ def test_heads_of_long_runs_follow_pointers(spark):
     for limit in (0, 20_000):
         got = greedy_heads(df, ["k"], "t", 20, 64 * 20, fold_limit=limit).select("k", "t").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_posting_lists_pass_on_k_rows_per_word(spark):
+    """Words that every text has: what goes on is words x k, whatever the number of texts and queries."""
+    from engram.operators import postings
+
+    rng = np.random.default_rng(1)
+    every = ["alpha", "beta", "gammas", "x1"]
+    rows = [(i, float(rng.integers(0, 9)), " ".join(["alpha", "beta-alpha", "gammas"] + [f"w{rng.integers(0, 50)}" for _ in range(6)])) for i in range(400)]
+    texts = spark.createDataFrame(rows, "id long, weight double, text string")
+    words = [(q, w) for q in range(30) for w in [*every[:3], f"w{q}"]] + [(99, "nowhere")]
+    asked = spark.createDataFrame(words, "query_id long, word string")
+    order = [F.col("weight").desc(), F.col("id")]
+    lists = postings.posting_lists(texts, F.col("text"), asked, ["id", "weight"], order, 5)
+    assert lists.filter(F.col("word").isin(every)).count() == 3 * 5
+    got = {(r["query_id"], r["id"], r["place"]) for r in postings.rows_of_queries(texts, F.col("text"), asked, ["id", "weight"], order, 5).collect()}
+    want = set()
+    for q in {q for q, _ in words}:
+        own = [w for p, w in words if p == q]
+        hits = sorted((-weight, i) for i, weight, text in rows if any(w in text for w in own))
+        want |= {(q, i, k + 1) for k, (_, i) in enumerate(hits[:5])}
+    assert got == want
+    whole = {(r["query_id"], r["id"]) for r in postings.rows_of_queries(texts, F.col("text"), asked, ["id"]).collect()}
+    assert whole == {(q, i) for q, w in words for i, _, text in rows if w in text}
+
+
+def test_sections_that_contend_are_enough(spark):
+    """The bound from posting lists leaves the same best sections as scoring every section."""
+    import itertools
+    from datetime import datetime
+
+    from engram.operators import retrieval as r
+
+    rng = np.random.default_rng(2)
+    vocabulary = ["ship", "shipment", "late", "customer", "balance", "the", "delivery", "order"]
+    say = lambda n: " ".join(rng.choice(vocabulary, n)) + " filler" * int(rng.integers(0, 60)) + " " + " ".join(rng.choice(vocabulary, 2))
+    rows = [(f"memory/{i % 7}.md", int(i), say(1), say(int(rng.integers(1, 9))), datetime(2024, 2, 1 + i % 28)) for i in range(120)]
+    sections = spark.createDataFrame(rows, "path string, line_start int, heading string, content string, modified timestamp")
+    asked = ["late delivery", "the the customer", "ship", "order balance late", "a", "nothing here"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    as_of = F.lit("2024-03-01").cast("timestamp")
+    got = {(x["query_id"], x["id"], round(x["s_total"], 9)) for x in r.search_sections(queries, sections, as_of, 4, min_score=0.0).collect()}
+    scored = r.section_scores(sections, as_of).crossJoin(
+        queries.select("query_id", F.lower("text").alias("query_low"), r.query_words(F.lower("text")).alias("words"))
+    )
+    head = F.least(F.lit(1.0), F.size(F.filter("words", lambda w: F.lower("heading").contains(w))) * 0.3)
+    total = F.round(r.section_text_score() * 0.5 + head * 0.2 + F.col("_base"), 9)
+    every = sorted((x["query_id"], -x["t"], x["id"]) for x in scored.select("query_id", "id", total.alias("t")).collect())
+    want = {(q, i, -t) for _, group in itertools.groupby(every, key=lambda x: x[0]) for q, t, i in list(group)[:4]}
+    assert got == want
