@@ -7,17 +7,18 @@ event-time timer.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from engram.functions.text import no_strings
 from engram.operators import messages as m
+from engram.operators.matching import contained_terms
+from engram.operators.tables import identity_phrases
+from engram.streaming import state
 
 IDLE_MS = 3_600_000
+KEEP_MS = 30 * 24 * 3_600_000
 
 
 def understand_stream(stream: DataFrame) -> DataFrame:
@@ -25,132 +26,36 @@ def understand_stream(stream: DataFrame) -> DataFrame:
     return m.understand(m.guard_text(stream))
 
 
-def _micros(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
-
-
-def _idle_at(state: GroupState, last_micros: int, keep_ms: int) -> None:
-    """Drop the state once the watermark has passed the last event by ``keep_ms``."""
-    state.setTimeoutTimestamp(max(last_micros // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
-
-
-def min_interval_gate_stream(stream: DataFrame, key: str, seconds: float, late: str = "10 minutes") -> DataFrame:
-    """(key, message_id, ts, accepted): state is the last accepted time per key."""
-    interval = int(seconds * 1_000_000)
-    id_type = stream.schema["message_id"].dataType.simpleString()
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def gate(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "message_id"])
-        accepted = []
-        for t in _micros(rows["ts"]):
-            take = last is None or t - last >= interval
-            accepted.append(take)
-            last = t if take else last
-        state.update((int(last),))
-        _idle_at(state, int(last), int(seconds * 1000) + IDLE_MS)
-        yield rows.assign(accepted=accepted)[[key, "message_id", "ts", "accepted"]]
-
-    return (
-        stream.withWatermark("ts", late).select(key, "message_id", "ts").groupBy(key)
-        .applyInPandasWithState(
-            gate, f"{key} {key_type}, message_id {id_type}, ts timestamp, accepted boolean", "last bigint",
-            "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
-
+def min_interval_gate_stream(stream: DataFrame, key: str, seconds: float, late: str = "10 minutes", keep_ms: int = IDLE_MS) -> DataFrame:
+    """(key, message_id, ts, accepted): state is the last accepted time per key, until it is idle for ``keep_ms`` beyond the interval."""
+    types = {c: stream.schema[c].dataType.simpleString() for c in (key, "message_id")}
+    rows = stream.withWatermark("ts", late).select(key, "message_id", "ts")
+    schema = f"{key} {types[key]}, message_id {types['message_id']}, ts timestamp, accepted boolean"
+    return state.with_state(rows, key, state.Gate(key, int(seconds * 1_000_000), keep_ms), schema)
 
-def rate_counter_stream(stream: DataFrame, key: str, seconds: float, limit: int, late: str = "10 minutes") -> DataFrame:
-    """(key, message_id, ts, n_in_window, allowed): state is window start and count."""
-    interval = int(seconds * 1_000_000)
-    id_type = stream.schema["message_id"].dataType.simpleString()
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def count(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "message_id"])
-        seen = []
-        for t in _micros(rows["ts"]):
-            if start is None or t - start >= interval:
-                start, n = int(t), 0
-            n += 1
-            seen.append(n)
-        state.update((int(start), int(n)))
-        _idle_at(state, int(start), int(seconds * 1000) + IDLE_MS)
-        out = rows.assign(n_in_window=seen)
-        out["allowed"] = out["n_in_window"] <= limit
-        yield out[[key, "message_id", "ts", "n_in_window", "allowed"]]
 
-    return (
-        stream.withWatermark("ts", late).select(key, "message_id", "ts").groupBy(key)
-        .applyInPandasWithState(
-            count, f"{key} {key_type}, message_id {id_type}, ts timestamp, n_in_window bigint, allowed boolean",
-            "start bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+def rate_counter_stream(stream: DataFrame, key: str, seconds: float, limit: int, late: str = "10 minutes", keep_ms: int = IDLE_MS) -> DataFrame:
+    """(key, message_id, ts, n_in_window, allowed): state is window start and count per key, until the window is over for ``keep_ms``."""
+    types = {c: stream.schema[c].dataType.simpleString() for c in (key, "message_id")}
+    rows = stream.withWatermark("ts", late).select(key, "message_id", "ts")
+    schema = f"{key} {types[key]}, message_id {types['message_id']}, ts timestamp, n_in_window bigint, allowed boolean"
+    return state.with_state(rows, key, state.Counter(key, int(seconds * 1_000_000), limit, keep_ms), schema)
 
 
-def segment_stream(stream: DataFrame, size: int = 10, late: str = "10 minutes") -> DataFrame:
+def segment_stream(stream: DataFrame, size: int = 10, late: str = "10 minutes", idle_ms: int = IDLE_MS, keep_ms: int = KEEP_MS) -> DataFrame:
     """Emit an episode per ``size`` processed messages of a session; the open rest
-    is emitted when the session has been idle for an hour of event time.
+    is emitted when the session has been idle for ``idle_ms`` of event time.
 
-    ``stream`` carries the columns of ``understand``. State holds fewer than
-    ``size`` message lines, and after an idle hour one number per session.
+    ``stream`` carries the columns of ``understand`` and, if names are wanted, ``entities``. State holds fewer than
+    ``size`` message lines, after an idle time one number per session, and nothing ``keep_ms`` after its last message; a session that
+    goes on later starts from segment 0 again, and first_ts tells the two apart.
     """
-    out_schema = (
-        "session_id string, segment bigint, narrative string, valence double, arousal double, n_messages bigint, last_ts timestamp"
-    )
-    state_schema = "segment bigint, lines array<string>, valence array<double>, arousal array<double>, last bigint"
-
-    def emit(session: str, segment: int, lines, valence, arousal, last) -> pd.DataFrame:
-        return pd.DataFrame(
-            [
-                {
-                    "session_id": session, "segment": segment, "narrative": "\n".join(lines)[:4000],
-                    "valence": sum(valence) / len(valence), "arousal": sum(arousal) / len(arousal),
-                    "n_messages": len(lines), "last_ts": pd.Timestamp(last, unit="us"),
-                }
-            ]
-        )
-
-    def collect(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        segment, lines, valence, arousal, last = (0, [], [], [], 0)
-        if state.exists:
-            segment, lines, valence, arousal, last = state.get
-            lines, valence, arousal = list(lines), list(valence), list(arousal)
-        if state.hasTimedOut:
-            if lines:
-                yield emit(k[0], segment, lines, valence, arousal, last)
-                segment += 1
-            # the number stays, so that a session that goes on never repeats one
-            state.update((segment, [], [], [], last))
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for line, v, a, t in zip(rows["line"], rows["valence"], rows["arousal"], _micros(rows["ts"])):
-            lines.append(line)
-            valence.append(float(v))
-            arousal.append(float(a))
-            last = int(t)
-            if len(lines) == size:
-                yield emit(k[0], segment, lines, valence, arousal, last)
-                segment, lines, valence, arousal = segment + 1, [], [], []
-        state.update((segment, lines, valence, arousal, last))
-        _idle_at(state, last, IDLE_MS)
-
     line = F.concat(F.lit("["), F.col("sender"), F.lit("] "), F.substring("text", 1, 500))
-    return (
-        stream.withWatermark("ts", late)
-        .select("session_id", "seq", "ts", line.alias("line"), "valence", "arousal")
-        .groupBy("session_id")
-        .applyInPandasWithState(collect, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    names = F.col("entities") if "entities" in stream.columns else no_strings()
+    rows = stream.withWatermark("ts", late).select(
+        "session_id", "seq", "ts", line.alias("line"), names.alias("entities"), "intent", "valence", "arousal"
     )
+    return state.with_state(rows, "session_id", state.Segments(size, idle_ms, keep_ms), state.SEGMENT)
 
 
 def rolling_24h(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
@@ -162,21 +67,23 @@ def rolling_24h(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     )
 
 
-def foreach_batch_writer(root: str, write: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: ``write`` turns a micro-batch into rows per table.
+def interactions_stream(stream: DataFrame, persons: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(name, day, ts): persons that take part in an episode of the stream, once per person and day.
 
-    Each table part is written to a folder named by the batch, in overwrite
-    mode, so a replayed batch replaces itself.
+    ``stream`` has ts and participants. The days that the watermark has passed leave the state.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            for name, rows in write(batch).items():
-                rows.write.mode("overwrite").parquet(f"{root}/{name}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
+    people = persons.select("name", F.lower("name").alias("_name")).distinct()
+    met = stream.withWatermark("ts", late).select("ts", F.explode("participants").alias("_p"))
+    named = met.join(people, F.lower("_p") == F.col("_name")).select("name", F.to_date("ts").alias("day"), "ts")
+    return named.dropDuplicatesWithinWatermark(["name", "day"])
 
-    return run
+
+def affirmations_stream(stream: DataFrame, identity: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(key, day, ts): identity rows whose phrases a text of the stream contains, once per row and day."""
+    phrases = identity_phrases(identity)
+    rows = stream.withWatermark("ts", late).select("ts", F.lower("text").alias("_low"))
+    hits = contained_terms(rows, "_low", phrases, "term", []).select("key", F.to_date("ts").alias("day"), "ts")
+    return hits.dropDuplicatesWithinWatermark(["key", "day"])
 
 
 def observe_router(stream: DataFrame, name: str = "router") -> DataFrame:
@@ -200,7 +107,10 @@ class RouterStats(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        row = event.progress.observedMetrics.get(self.name)
+        self.add(event.progress)
+
+    def add(self, progress) -> None:
+        row = progress.observedMetrics.get(self.name)
         if row is not None:
             for key, value in row.asDict().items():
                 self.totals[key] = self.totals.get(key, 0) + (value or 0)

@@ -108,15 +108,75 @@ def test_stream_rolling_window_and_sink(spark, tmp_path):
     stream = _stream(spark, tmp_path, df)
     out = _run(sm.rolling_24h(stream, "session_id"), "rolling", tmp_path, spark)
     assert out.count() > 0
-    root = str(tmp_path / "sink")
-    write = sm.foreach_batch_writer(root, lambda b: {"episodes": b.select("message_id", "ts")})
-    q = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    """Sessions of an hour each, days apart: what is open is emitted, and the state holds the last ones only."""
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(f"s{i}", i * 10 + k, t0 + timedelta(days=i, minutes=k)) for i in range(8) for k in range(3)]
+    df = spark.createDataFrame(rows, "session_id string, seq long, ts timestamp").withColumns(
+        {"text": F.lit("a line of text"), "sender": F.lit("user"), "intent": F.lit("inform"), "valence": F.lit(0.5), "arousal": F.lit(0.0)}
     )
+    src = tmp_path / "days"
+    for i in range(8):
+        df.filter(F.col("session_id") == f"s{i}").coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(src))
+    out = sm.segment_stream(stream, 10, late="1 minute", keep_ms=36 * 3_600_000)
+    q = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.read.parquet(f"{root}/episodes").count() == df.count()
-    write(df, 0)
-    assert spark.read.parquet(f"{root}/episodes").filter("batch_id = 0").count() == df.count()
+    got = {(r["session_id"], r["segment"], r["n_messages"], r["trajectory"]) for r in spark.table("idle").collect()}
+    assert got == {(f"s{i}", 0, 3, "positive") for i in range(7)}
+    state = q.recentProgress[-1].stateOperators[0]
+    assert state.numRowsTotal < 20
+
+
+def test_stream_gate_keeps_null_keys(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, i, t0 + timedelta(seconds=7 * i)) for i, k in enumerate([None, "a", None, "a", None])]
+    df = spark.createDataFrame(rows, "who string, message_id long, ts timestamp")
+    out = _run(sm.min_interval_gate_stream(_stream(spark, tmp_path, df), "who", 20, late="30 days"), "nulls", tmp_path, spark)
+    assert {(r["who"], r["message_id"], r["accepted"]) for r in out.collect()} == {
+        (r["who"], r["message_id"], r["accepted"]) for r in m.min_interval_gate(df, ["who"], 20, ["message_id"]).collect()
+    }
+
+
+def test_upserts_survive_a_crash_between_tables_and_replays(spark, tmp_path):
+    from engram.catalog.q_streaming import message_changes, message_upserts
+    from engram.streaming import sink
+
+    df = m.sentiment(m.intent(fx.messages_ev(spark, ROOT))).checkpoint()
+    ids = sorted(r[0] for r in df.select("message_id").collect())
+    thirds = [df.filter((F.col("message_id") >= lo) & (F.col("message_id") <= hi)) for lo, hi in [(ids[0], ids[len(ids) // 3]), (ids[len(ids) // 3] + 1, ids[2 * len(ids) // 3]), (ids[2 * len(ids) // 3] + 1, ids[-1])]]
+    upserts = message_upserts(spark)
+    root, whole = str(tmp_path / "parts"), str(tmp_path / "whole")
+    sink.committing_writer(whole, "events", message_changes)(df, 0)
+
+    def crash(batch):
+        changed = message_changes(batch)
+        return {**changed, "zz": changed["nodes"].withColumn("x", F.raise_error(F.lit("power cut")).cast("string"))}
+
+    run = sink.committing_writer(root, "events", message_changes)
+    run(thirds[0], 0)
+    with pytest.raises(Exception, match="power cut"):
+        sink.committing_writer(root, "events", crash)(thirds[1], 1)
+    # the tables before the crash are written, and count for nothing
+    assert sink.commits(spark, root).count() == 1
+    before = sink.read_merged(spark, root, "episodes", upserts["episodes"]).count()
+    run(thirds[1], 1)
+    assert sink.read_merged(spark, root, "episodes", upserts["episodes"]).count() > before
+    sink.compact(spark, root, upserts)
+    for batch in (0, 1, 2, 2):
+        run(thirds[batch], batch)
+    assert sink.commits(spark, root).count() == 3
+    for name, upsert in upserts.items():
+        parts = sink.read_merged(spark, root, name, upsert)
+        columns = sorted(parts.columns)
+        rows = lambda d, columns=columns: sorted(str(r) for r in d.select(*columns).collect())
+        assert rows(parts) == rows(sink.read_merged(spark, whole, name, upsert)), name
 
 
 def test_nightly_cycle_runs_twice_on_one_root(spark, tmp_path):
