@@ -245,7 +245,7 @@ FROM supplier JOIN edges ON source_id = 's' || s_suppkey OR target_id = 's' || s
 @query("upsert_nodes")
 def upsert_nodes(spark, root):
     """Every part row is one upsert of the node named by its part name."""
-    old = fx.nodes(spark, root, embeddings=False).filter("type <> 'tool'")
+    old = fx.nodes(spark, root, embeddings=False)
     seed = fx.table(spark, root, "part").groupBy("p_type").agg(F.max("p_size").alias("s"))
     old = old.unionByName(
         seed.select(
@@ -274,17 +274,17 @@ def upsert_nodes(spark, root):
             F.lit(0.3).alias("emotional_weight"), F.col("p_partkey").alias("batch_order"),
         )
     )
-    out = t.upsert_nodes(old, new, fx.ORDERS_AS_OF).filter("type = 'tool'")
+    out = t.upsert_nodes(old, new, fx.ORDERS_AS_OF)
     entry = lambda e: F.concat(e["key"], F.lit("="), e["value"])
     return out.select(
-        "name", F.array_join("aliases", ",").alias("aliases"), "context", "significance", *_r("confidence", "emotional_weight"),
+        "type", "name", F.array_join("aliases", ",").alias("aliases"), "context", "significance", *_r("confidence", "emotional_weight"),
         "confidence_basis", F.array_join(F.sort_array(F.transform(F.map_entries("attributes"), entry)), ",").alias("attributes"),
         "last_modified",
     )
 
 
-o.SQL["upsert_nodes"] = """
-WITH seed AS (SELECT DISTINCT lower(p_type) AS name FROM part),
+o.SQL["upsert_nodes"] = f"""
+WITH {o.NODES}, seed AS (SELECT DISTINCT lower(p_type) AS name FROM part),
 new AS (SELECT p_name AS name, CASE WHEN p_size > 25 THEN p_brand END AS alias, p_type AS k, CAST(p_size AS VARCHAR) AS v,
     CASE WHEN p_size > 40 THEN p_brand END AS context, coalesce(CASE WHEN p_size > 10 THEN p_size / 50.0::DOUBLE END, 0.5::DOUBLE) AS confidence, 0.0::DOUBLE AS w, p_partkey AS ord FROM part
   UNION ALL SELECT lower(p_type), NULL, 'size', CAST(p_size AS VARCHAR), NULL, 0.5::DOUBLE, 0.3::DOUBLE, p_partkey FROM part),
@@ -292,10 +292,11 @@ a AS (SELECT name, k, arg_max(v, ord) AS v FROM new GROUP BY 1, 2 UNION ALL SELE
 atts AS (SELECT name, string_agg(k || '=' || v, ',' ORDER BY k || '=' || v) AS attributes FROM a GROUP BY 1),
 f AS (SELECT name, arg_max(alias, ord) FILTER (alias IS NOT NULL) AS alias, arg_max(context, ord) FILTER (context IS NOT NULL) AS context,
   arg_max(confidence, ord) AS confidence, arg_max(w, ord) AS w FROM new GROUP BY 1)
-SELECT name, coalesce(alias, CASE WHEN name IN (SELECT name FROM seed) THEN 'old' END, '') AS aliases,
-  coalesce(context, CASE WHEN name IN (SELECT name FROM seed) THEN 'from seed' END) AS context,
+SELECT 'tool' AS type, name, coalesce(alias, CASE WHEN name IN (SELECT name FROM seed) THEN 'old' END, '') AS aliases,
+  coalesce(context, CASE WHEN name IN (SELECT name FROM seed) THEN 'from seed' ELSE 'regular' END) AS context,
   CASE WHEN name IN (SELECT name FROM seed) THEN 'kept' END AS significance, round(confidence, 6) AS confidence, round(w, 6) AS emotional_weight,
-  'assumed' AS confidence_basis, attributes, TIMESTAMP '2001-09-01' AS last_modified FROM f JOIN atts USING (name)"""
+  'assumed' AS confidence_basis, attributes, TIMESTAMP '2001-09-01' AS last_modified FROM f JOIN atts USING (name)
+UNION ALL SELECT type, name, '', context, NULL, round(confidence, 6), 0.0, basis, '', last_verified FROM nodes WHERE type <> 'tool'"""
 
 
 def _persons(spark, root):

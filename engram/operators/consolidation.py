@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.scores import clamp, half_if_missing, timestamp
 from engram.functions.text import contains_any, no_strings, query_words
-from engram.operators.matching import contained_terms, resolve_names, top_per
-from engram.operators.ordering import running_index
+from engram.operators.matching import contained_terms, resolve_names, top_per, words_within
+from engram.operators.ordering import places
 from engram.operators.tables import apply_affirmations, identity_phrases
-from engram.operators.vectors import knn
+from engram.operators.vectors import first_above
+from engram.session import use_checkpoints
 
 INSIGHTS = (
     "insights array<struct<type:string,content:string,severity:string,"
@@ -35,6 +36,16 @@ def embedding_backlog(episodes: DataFrame, nodes: DataFrame, limit: int | None =
     return one.unionByName(two)
 
 
+def attach_vectors(rows: DataFrame, kind: str, vectors: DataFrame) -> DataFrame:
+    """Rows with the vectors that a model gave for their backlog texts: (kind, id, embedding). A vector that is there stays.
+
+    Of several answers for one row the first, by its components, counts.
+    """
+    given = vectors.filter((F.col("kind") == kind) & F.col("embedding").isNotNull()).groupBy("id").agg(F.min("embedding").alias("_given"))
+    joined = rows.join(given, "id", "left").withColumn("embedding", F.coalesce("embedding", F.col("_given").cast(rows.schema["embedding"].dataType)))
+    return joined.select(*rows.columns)
+
+
 def embed_text(recipe: str) -> Column:
     """Text to embed: node recipes "full" and "plain", or "episode"."""
     if recipe == "episode":
@@ -114,39 +125,64 @@ def _long_words(text: Column) -> Column:
     return query_words(F.lower(text), 4)
 
 
-def match_lessons(insights: DataFrame, lessons: DataFrame, similarity: float = 0.75) -> DataFrame:
+def match_lessons(insights: DataFrame, lessons: DataFrame, similarity: float = 0.75, first: int = 8) -> DataFrame:
     """(id, lesson_id) for lesson insights that repeat a known lesson.
 
     The first lesson (by id) with a close vector, when both sides carry an
     ``embedding``; else the first that shares enough long words, either word
     containing the other: three, or two for insights of at most eight.
     Insights with equal content are matched once.
+
+    Only the first lesson counts, so lessons come in slices in their order, ``first`` of them and then twice as many as
+    before, and an insight that has found its lesson meets no further one. Of the words of an insight the t - 1
+    that most lessons of a slice have cannot bring t shared words alone: only the others find candidates (prefix filter).
     """
+    spark = insights.sparkSession
+    use_checkpoints(spark)
     told = insights.filter("type = 'lesson'").select("id", F.lower("content").alias("content"))
     texts = told.select("content").distinct().withColumn("words", _long_words(F.col("content")))
-    a = texts.select("content", F.size("words").alias("n"), F.posexplode("words").alias("pos", "iw"))
-    b = lessons.select(F.col("id").alias("lesson_id"), F.explode(F.array_distinct(_long_words(F.col("statement")))).alias("lw"))
-    mine, theirs = a.select("iw").distinct(), b.select("lw").distinct()
-    same = contained_terms(theirs, "lw", mine, "iw", ["lw"]).select("iw", "lw").unionByName(
-        contained_terms(mine, "iw", theirs, "lw", ["iw"]).select("iw", "lw")
-    )
-    word_lessons = same.join(b, "lw").select("iw", "lesson_id").distinct()
-    shared = a.join(word_lessons, "iw").groupBy("content", "n", "lesson_id").agg(F.count("*").alias("overlap"))
-    by_words = (
-        shared.filter((F.col("overlap") >= 3) | ((F.col("overlap") >= 2) & (F.col("n") <= 8)))
-        .groupBy("content").agg(F.min("lesson_id").alias("lesson_id"))
-    )
-    found = told.join(by_words, "content").select("id", F.lit(1).alias("kind"), "lesson_id")
+    counts = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("iw"), F.size(F.filter("words", lambda x: x == w)).alias("times")))
+    need = F.when(F.size("words") <= 8, 2).otherwise(3)
+    mine = texts.select(F.xxhash64("content").alias("key"), F.sha2("content", 256).alias("sha"), need.alias("need"), F.explode(counts).alias("c")).select(
+        "key", "sha", "need", "c.iw", "c.times"
+    ).checkpoint()
+    theirs = lessons.select(F.col("id").alias("lesson_id"), F.explode(F.array_distinct(_long_words(F.col("statement")))).alias("lw"))
+    order = places(lessons.select(F.col("id").alias("lesson_id")).distinct(), ["lesson_id"])
+    theirs = theirs.join(order, "lesson_id").checkpoint()
+    iw, lw = mine.select("iw").distinct(), theirs.select("lw").distinct()
+    same = words_within(iw, "iw", lw, "lw").select("iw", "lw").unionByName(words_within(lw, "lw", iw, "iw").select("iw", "lw")).distinct()
+    word_lessons = same.join(theirs, "lw").select("iw", "lesson_id", "place").distinct().checkpoint()
+    total = order.count()
+    found = None
+    lo, hi = 0, first
+    while lo < total:
+        part = word_lessons.filter((F.col("place") > lo) & (F.col("place") <= hi))
+        rows = mine if found is None else mine.join(found, ["key", "sha"], "left_anti")
+        now = _first_shared(rows, part).checkpoint()
+        found = now if found is None else found.unionByName(now).checkpoint()
+        lo, hi = hi, hi * 3
+    by_words = told.withColumns({"key": F.xxhash64("content"), "sha": F.sha2("content", 256)})
+    if found is None:
+        result = by_words.limit(0).select("id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("lesson_id"))
+    else:
+        result = by_words.join(found, ["key", "sha"]).select("id", F.lit(1).alias("kind"), "lesson_id")
     if "embedding" in insights.columns and "embedding" in lessons.columns:
-        numbered = lessons.withColumn("query_id", F.xxhash64("id"))
-        near = knn(numbered, insights.filter("type = 'lesson'"), 2**31 - 1, similarity)
-        close = (
-            near.filter(F.col("similarity") > similarity)
-            .join(numbered.select("query_id", F.col("id").alias("lesson_id")), "query_id")
-            .select(F.col("item_id").alias("id"), F.lit(0).alias("kind"), "lesson_id")
-        )
-        found = found.unionByName(close)
-    return found.groupBy("id").agg(F.min(F.struct("kind", "lesson_id")).alias("m")).select("id", "m.lesson_id")
+        close = first_above(insights.filter("type = 'lesson'"), lessons, similarity)
+        result = result.unionByName(close.select(F.col("item_id").alias("id"), F.lit(0).alias("kind"), F.col("first_id").alias("lesson_id")))
+    return result.groupBy("id").agg(F.min(F.struct("kind", "lesson_id")).alias("m")).select("id", "m.lesson_id")
+
+
+def _first_shared(rows: DataFrame, word_lessons: DataFrame) -> DataFrame:
+    """(key, sha, lesson_id): the first lesson of a slice that shares enough words with the text."""
+    often = word_lessons.groupBy("iw").agg(F.count("*").alias("often"))
+    met = rows.join(often, "iw")
+    by_rarity = Window.partitionBy("key", "sha").orderBy(F.col("often").desc(), "iw").rowsBetween(Window.unboundedPreceding, -1)
+    # words of a text that come with more lessons than others, as long as these alone are too few
+    seeds = met.withColumn("_above", F.coalesce(F.sum("times").over(by_rarity), F.lit(0))).filter(F.col("_above") + F.col("times") >= F.col("need"))
+    candidates = seeds.select("key", "sha", "iw").join(word_lessons, "iw").select("key", "sha", "lesson_id").distinct()
+    shared = met.select("key", "sha", "need", "iw", "times").join(word_lessons, "iw").join(candidates, ["key", "sha", "lesson_id"], "left_semi")
+    enough = shared.groupBy("key", "sha", "need", "lesson_id").agg(F.sum("times").alias("n")).filter("n >= need")
+    return enough.groupBy("key", "sha").agg(F.min("lesson_id").alias("lesson_id"))
 
 
 def reinforce_lessons(lessons: DataFrame, matches: DataFrame, as_of) -> DataFrame:
@@ -382,10 +418,7 @@ def rollup_daily(episodes: DataFrame, as_of, below: float = 0.3, more_than: int
     the narrative, so no row grows with the number of episodes.
     """
     stale = stale_episodes(episodes, as_of, below)
-    placed = running_index(
-        stale.select("id", "created_at", "summary").withColumn("_all", F.lit(1)), ["_all"], ["created_at", "id"],
-        F.to_date("created_at"),
-    ).withColumn("part", F.floor((F.col("position") - 1) / part))
+    placed = places(stale.select("id", "created_at", "summary"), ["created_at", "id"], "position").withColumn("part", F.floor((F.col("position") - 1) / part))
     joined = placed.groupBy("part").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("position", "summary"))), lambda s: s["summary"]), "; "

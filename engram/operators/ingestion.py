@@ -10,6 +10,7 @@ from engram.functions.scores import clamp
 from engram.functions.text import contains_any, js_trim, labels_where, no_strings, one_of_chars
 from engram.operators.consolidation import json_block
 from engram.operators.matching import contained_terms, resolve_names
+from engram.operators.ordering import follow_pointers, running_index
 from engram.session import use_checkpoints
 
 ENTITY_JSON = (
@@ -143,42 +144,37 @@ def daily_episodes(sections: DataFrame, variant: str = "curated", topics: str =
 
 
 def pack_batches(sections: DataFrame) -> DataFrame:
-    """(path, line_start, batch, batch_chars): sections over 200 characters, packed
+    """(path, line_start, batch): sections over 200 characters, packed
     in order to at most 2500 characters or three sections.
 
-    A file is one row of the source, so the ordered fold over its sections stays
-    within what one task has already read.
+    Where a batch that starts at a section ends follows from the three sections after it, so every section gets a pointer
+    to the next start. The starts of a file are what the pointers reach from its first section; pointers are
+    doubled, so no file is read in order by one task.
     """
-    long_ones = sections.filter(F.length("content") > 200)
-    files = long_ones.groupBy("path").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    "line_start", F.length("content").alias("chars"),
-                    (F.length("heading") + F.length("content") + 6).alias("full"),
-                )
-            )
-        ).alias("s")
+    use_checkpoints(sections.sparkSession)
+    size = F.length("content")
+    rows = sections.filter(size > 200).select("path", "line_start", size.alias("chars"), (F.length("heading") + size + 6).alias("full"))
+    placed = running_index(rows, ["path"], ["line_start", "chars", "full"], F.floor(F.col("line_start") / 4096), "t").checkpoint()
+    after = F.explode(F.sequence(F.lit(0), F.lit(BATCH_SECTIONS)))
+    seen = placed.withColumn("k", after).select("path", (F.col("t") - F.col("k")).alias("t"), "k", "chars", "full").groupBy("path", "t").agg(
+        F.map_from_entries(F.collect_list(F.struct("k", F.struct("chars", "full")))).alias("s")
+    ).filter(F.map_contains_key("s", F.lit(0)))
+    chars, full = (lambda k, c=c: F.try_element_at("s", F.lit(k))[c] for c in ("chars", "full"))
+    filled, leap = full(0), F.lit(None).cast("int")
+    rules = []
+    for k in range(1, BATCH_SECTIONS + 1):
+        rules.append(chars(k).isNotNull() & ((filled + chars(k) > BATCH_CHARS) if k < BATCH_SECTIONS else F.lit(True)))
+        filled = filled + full(k)
+    for k in range(BATCH_SECTIONS, 0, -1):
+        leap = F.when(rules[k - 1], k).otherwise(leap)
+    # a batch without a next one takes what is left of its file
+    jumps = seen.select("path", "t", (F.col("t") + leap).alias("next")).checkpoint()
+    starts = follow_pointers(placed.filter("t = 1").select("path", "t"), jumps.filter("next is not null"), ["path"]).join(jumps, ["path", "t"])
+    numbered = running_index(starts, ["path"], ["t"], F.floor(F.col("t") / 4096), "batch")
+    covered = numbered.select(
+        "path", F.explode(F.sequence("t", F.coalesce(F.col("next") - 1, F.col("t") + BATCH_SECTIONS - 1))).alias("t"), (F.col("batch") - 1).cast("int").alias("batch")
     )
-    start = F.struct(
-        F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(0).alias("batch"),
-        F.array().cast("array<struct<line_start:int,batch:int>>").alias("out"),
-    )
-
-    def step(acc, s):
-        cut = (acc["n"] > 0) & ((acc["size"] + s["chars"] > BATCH_CHARS) | (acc["n"] >= BATCH_SECTIONS))
-        batch = acc["batch"] + F.when(cut, 1).otherwise(0)
-        return F.struct(
-            (F.when(cut, 0).otherwise(acc["size"]) + s["full"]).alias("size"),
-            (F.when(cut, 0).otherwise(acc["n"]) + 1).alias("n"),
-            batch.alias("batch"),
-            F.array_append(
-                acc["out"], F.struct(s["line_start"].cast("int").alias("line_start"), batch.alias("batch"))
-            ).alias("out"),
-        )
-
-    packed = files.select("path", F.explode(F.aggregate("s", start, step)["out"]).alias("b"))
-    return packed.select("path", "b.line_start", "b.batch")
+    return placed.join(covered, ["path", "t"]).select("path", F.col("line_start").cast("int").alias("line_start"), "batch")
 
 
 def relation_candidates(sections: DataFrame, names: DataFrame, most: int = 30) -> DataFrame:

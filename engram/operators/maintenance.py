@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from engram.functions import lexicons as lx
 from engram.functions.scores import days_between, effective_confidence, timestamp
 from engram.functions.text import contains_any, first_match
-from engram.operators.matching import alias_index, contained_terms
+from engram.operators.matching import alias_index, contained_terms, top_per
 from engram.operators.vectors import similar_pairs
 from engram.session import use_checkpoints
 
@@ -243,49 +243,58 @@ def relationship_for(a: Column, b: Column) -> tuple[Column, Column]:
 def greedy_cap(pairs: DataFrame, per_node: int, total: int) -> DataFrame:
     """Accept pairs in order (n desc, a, b), at most ``per_node`` per endpoint, first ``total``.
 
+    Whether a pair is accepted depends on those before it alone, so the pairs are taken in slices of their order: twice
+    ``total`` first, then twice as many each time, until ``total`` are accepted. All that lies behind is never touched.
+    """
+    use_checkpoints(pairs.sparkSession)
+    ordered = pairs.withColumn("o", F.struct((-F.col("n")).alias("n"), "a", "b"))
+    accepted, last, size = None, None, 2 * total
+    while True:
+        rest = ordered if last is None else ordered.filter(F.col("o") > last)
+        part = rest.orderBy("o").limit(size).checkpoint()
+        end = part.agg(F.max("o").alias("o")).first()["o"]
+        if end is None:
+            break
+        accepted = _accepted_in_slice(part, accepted, per_node)
+        if accepted.count() >= total:
+            break
+        last = F.struct(F.lit(end["n"]).alias("n"), F.lit(end["a"]).alias("a"), F.lit(end["b"]).alias("b"))
+        size *= 2
+    return (part if accepted is None else accepted).orderBy("o").limit(total).drop("o")
+
+
+def _accepted_in_slice(part: DataFrame, before: DataFrame | None, per_node: int) -> DataFrame:
+    """``before`` and the accepted pairs of a slice that follows it.
+
     Rounds of an exact parallel greedy: an open pair is accepted once fewer than
     the remaining places of both endpoints can be taken by open pairs before it,
     and dropped once an endpoint is full. Only the first open pairs per endpoint
     matter, so a hub is pruned before the shuffle; each round is checkpointed.
     """
-    spark = pairs.sparkSession
-    use_checkpoints(spark)
-    open_ = pairs.withColumn("o", F.struct((-F.col("n")).alias("n"), "a", "b")).checkpoint()
-    accepted = open_.limit(0)
+    accepted = part.limit(0) if before is None else before
+    open_ = part
+
+    def taken(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_used"))
+
     while True:
-        ends = open_.select("a", "b", "o", F.explode(F.array("a", "b")).alias("node"))
-        used = (
-            accepted.select(F.explode(F.array("a", "b")).alias("node"))
-            .groupBy("node").agg(F.count("*").alias("_used"))
+        full = taken(accepted).filter(F.col("_used") >= per_node).select("node")
+        open_ = (
+            open_.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti")
+            .select(*part.columns).checkpoint()
         )
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("o"))
+        if open_.isEmpty():
+            return accepted
+        ends = open_.select("a", "b", "o", F.explode(F.array("a", "b")).alias("node"))
         near = (
-            ends.withColumn("_r", rank).filter(F.col("_r") <= per_node)
-            .join(used, "node", "left")
+            top_per(ends, ["node"], [F.col("o")], per_node).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("o")))
+            .join(taken(accepted), "node", "left")
             .filter(F.col("_r") + F.coalesce("_used", F.lit(0)) <= per_node)
         )
         now = near.groupBy("a", "b").agg(F.count("*").alias("_ends")).filter("_ends = 2").select("a", "b")
-        accepted = accepted.unionByName(open_.join(now, ["a", "b"], "left_semi").select(*open_.columns)).checkpoint()
-        full = (
-            accepted.select(F.explode(F.array("a", "b")).alias("node"))
-            .groupBy("node").agg(F.count("*").alias("_used")).filter(F.col("_used") >= per_node).select("node")
-        )
-        open_ = (
-            open_.join(accepted.select("a", "b"), ["a", "b"], "left_anti")
-            .join(full.withColumnRenamed("node", "a"), "a", "left_anti")
-            .join(full.withColumnRenamed("node", "b"), "b", "left_anti")
-            .select("n", "a", "b", "o", *[c for c in pairs.columns if c not in ("n", "a", "b")])
-            .checkpoint()
-        )
-        accepted = accepted.select(*open_.columns)
-        first_open = open_.agg(F.min("o").alias("o")).first()["o"]
-        if first_open is None:
-            break
-        bar = F.struct(F.lit(first_open["n"]).alias("n"), F.lit(first_open["a"]).alias("a"), F.lit(first_open["b"]).alias("b"))
-        if accepted.filter(F.col("o") < bar).count() >= total:
-            accepted = accepted.filter(F.col("o") < bar)
-            break
-    return accepted.orderBy("o").limit(total).drop("o")
+        chosen = open_.join(now, ["a", "b"], "left_semi").select(*part.columns)
+        accepted = accepted.select(*part.columns).unionByName(chosen).checkpoint()
+        open_ = open_.join(accepted.select("a", "b"), ["a", "b"], "left_anti").select(*part.columns)
 
 
 def infer_edges(

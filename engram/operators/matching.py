@@ -99,6 +99,21 @@ def contained_terms(
     )
 
 
+def words_within(words: DataFrame, word: str, parts: DataFrame, part: str, max_lengths: int = 256) -> DataFrame:
+    """(word, part): every word of a table of distinct words that contains a part, or is one.
+
+    For words, not texts: each is cut into its spans of just the lengths that parts have, and these meet the
+    parts by equality. With too many lengths the general containment join is used.
+    """
+    small = parts.select(F.col(part)).filter(F.length(part) > 0).distinct()
+    lengths = [r["n"] for r in small.select(F.length(part).alias("n")).distinct().limit(max_lengths + 1).collect()]
+    large = words.select(F.col(word))
+    if len(lengths) > max_lengths:
+        return contained_terms(large, word, small, part, [word]).select(word, part)
+    spans = [F.when(F.length(word) >= n, grams(F.col(word), n)).otherwise(F.array().cast("array<string>")) for n in sorted(lengths) or [1]]
+    return large.select(word, F.explode(F.array_distinct(F.concat(*spans))).alias(part)).join(small, part).select(word, part)
+
+
 def alias_index(nodes: DataFrame, min_length: int = 1) -> DataFrame:
     """(term, pos, node columns): the name at position 0, then the aliases."""
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))

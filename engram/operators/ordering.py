@@ -36,6 +36,13 @@ def running_index(
     )
 
 
+def places(df: DataFrame, columns: list[str], name: str = "place") -> DataFrame:
+    """1-based position of each row of a whole table, by columns that tell its rows apart: ranges of values are sorted side by side."""
+    use_checkpoints(df.sparkSession)
+    ranged = df.repartitionByRange(*columns).withColumn("_range", F.spark_partition_id()).checkpoint()
+    return running_index(ranged, [], columns, F.col("_range"), name).drop("_range")
+
+
 def _fold_heads(times: Column, start: Column, interval: Column) -> Column:
     """Greedy heads of a sorted array of times, given the last head before it."""
     empty = F.array().cast("array<bigint>")
@@ -116,7 +123,7 @@ def greedy_heads(
 
     starts = long_rows.groupBy(*keys, "_run").agg(F.min("t").alias("t"))
     jumps = _next_at_or_after(long_rows.select(*keys, "_run", "t"), [*keys, "_run"], interval, chunk).checkpoint()
-    return heads.unionByName(_follow(starts, jumps, [*keys, "_run"]).select(*keys, "t"))
+    return heads.unionByName(follow_pointers(starts, jumps, [*keys, "_run"]).select(*keys, "t"))
 
 
 def _next_at_or_after(rows: DataFrame, group: list[str], interval: int, chunk: int) -> DataFrame:
@@ -142,7 +149,7 @@ def _next_at_or_after(rows: DataFrame, group: list[str], interval: int, chunk: i
     )
 
 
-def _follow(starts: DataFrame, jumps: DataFrame, group: list[str]) -> DataFrame:
+def follow_pointers(starts: DataFrame, jumps: DataFrame, group: list[str]) -> DataFrame:
     """All (group, t) that the starts reach by jumps, in as many rounds as the logarithm of the longest way.
 
     Jumps are doubled until none is left; then every doubled jump, the longest

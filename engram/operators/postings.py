@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from engram.operators.matching import contained_terms
+from engram.operators.matching import words_within
 
 
 def token_rows(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
@@ -21,8 +21,7 @@ def token_rows(rows: DataFrame, text: Column, keep: list[str]) -> DataFrame:
 
 def words_in_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, word) for every distinct token that contains a word."""
-    distinct = tokens.select("token").distinct()
-    return contained_terms(distinct, "token", words.select("word").distinct(), "word", ["token"]).select("token", "word")
+    return words_within(tokens.select("token").distinct(), "token", words, "word")
 
 
 def posting_lists(
@@ -44,14 +43,18 @@ def first_of(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> D
 
 
 def rows_of_queries(
-    rows: DataFrame, text: Column, words: DataFrame, keep: list[str], order: list[Column] | None = None, k: int | None = None
+    rows: DataFrame, text: Column, words: DataFrame, keep: list[str], order: list[Column] | None = None, k: int | None = None, by: list[str] | None = None
 ) -> DataFrame:
     """(query_id, keep...) for rows whose text contains any word of the query; with ``k`` the first k rows per query and their place.
 
-    The first k rows of a query are among the first k rows of its words. ``words`` has (query_id, word).
+    The first k rows of a query are among the first k rows of its words. ``words`` has (query_id, word). ``by``, a part of
+    ``keep``, tells kinds of rows apart that have first rows of their own.
     """
-    lists = posting_lists(rows, text, words, keep, order, k)
+    by = by or []
+    tokens = token_rows(rows, text, keep)
+    lists = tokens.join(words_in_tokens(tokens, words), "token").select("word", *keep)
     asked = words.select("query_id", "word").distinct()
     if k is None:
         return lists.join(asked, "word").select("query_id", *keep).distinct()
-    return first_of(lists.join(asked, "word").drop("word"), ["query_id"], order, k)
+    lists = first_of(lists, ["word", *by], order, k).drop("place")
+    return first_of(lists.join(asked, "word").drop("word"), ["query_id", *by], order, k)

@@ -125,13 +125,62 @@ def words_of(queries: DataFrame) -> DataFrame:
 
 
 class Words:
-    """The distinct words of every query, and the queries in lower case."""
+    """The distinct words of every query, read by every branch and so written once, and the queries in lower case."""
 
     def __init__(self, queries: DataFrame) -> None:
-        self.rows = words_of(queries)
+        use_checkpoints(queries.sparkSession)
+        self.rows = words_of(queries).checkpoint()
         self.lows = queries.select("query_id", F.lower("text").alias("query_low"))
 
 
+#: how rows of a branch are ordered before any query is known, the greatest first, and by how many times the limit they are cut
+KEYWORD_ORDERS = {"semantic": 3, "episode": 2, "lesson": 1, "procedure": 1}
+
+
+def keyword_candidates(words: Words, tables: dict[str, DataFrame], limit: int, wanted: list[str]) -> DataFrame:
+    """(query_id, branch, id, place): the first rows with a word of the query, for all branches in one pass over the words.
+
+    Written once: at most 3 x ``limit`` rows per query and branch.
+    """
+    sep = "\u0001"
+    no = F.lit(0.0)
+
+    def part(branch: str, first: Column, second: Column, *fields: Column) -> DataFrame:
+        return tables[_TABLES[branch]].select(
+            F.lit(branch).alias("branch"), "id", first.cast("double").alias("first"), second.cast("double").alias("second"),
+            F.lower(F.concat_ws(sep, *fields)).alias("searched"),
+        )
+
+    make = {
+        "semantic": lambda: part(
+            "semantic", F.col("confidence"), no, F.col("name"), F.col("context"), F.col("significance"), F.array_join("aliases", sep),
+            F.coalesce(F.to_json("attributes"), F.lit("{}")),
+        ),
+        "episode": lambda: part("episode", F.col("importance_score"), no, F.col("summary"), F.col("narrative")),
+        "lesson": lambda: part("lesson", -_severity_rank(), F.col("times_reinforced"), F.col("statement"), F.col("prevention_rule")),
+        "procedure": lambda: part(
+            "procedure", F.col("confidence"), no, F.col("name"), F.to_json("steps"), F.to_json(F.struct(F.col("trigger_phrases").alias("phrases")))
+        ),
+    }
+    rows = reduce(DataFrame.unionByName, [make[b]() for b in wanted])
+    order = [F.col("first").desc(), F.col("second").desc(), F.col("id")]
+    most = max(KEYWORD_ORDERS[b] for b in wanted) * limit
+    found = rows_of_queries(rows, F.col("searched"), words.rows, ["branch", "id", "first", "second"], order, most, ["branch"])
+    cut = first_match([(F.col("branch") == b, n * limit) for b, n in KEYWORD_ORDERS.items()], limit)
+    return found.filter(F.col("place") <= cut).select("query_id", "branch", "id", "place").checkpoint()
+
+
+_TABLES = {"semantic": "nodes", "episode": "episodes", "lesson": "lessons", "procedure": "procedures"}
+
+
+def _severity_rank() -> Column:
+    return F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "important", 1).otherwise(2)
+
+
+def _found_in(found: DataFrame, branch: str) -> DataFrame:
+    return found.filter(F.col("branch") == branch).select("query_id", "id", F.col("place").alias("word_rank"))
+
+
 # --- content ---------------------------------------------------------------------------
 def node_content() -> Column:
     lines = F.array_join(
@@ -199,19 +248,13 @@ def _rank(order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
 
 
-def node_hits(queries: DataFrame, words: Words, nodes: DataFrame, as_of, limit: int) -> DataFrame:
+def node_hits(queries: DataFrame, found: DataFrame, nodes: DataFrame, as_of, limit: int) -> DataFrame:
     """Nearest nodes and keyword nodes, merged; a node found by both keeps the
     nearest-neighbour row with the greater text match."""
     near = knn(queries, nodes, 2 * limit, 0.2).select(
         "query_id", F.col("item_id").alias("id"), "similarity", F.col("rank").alias("near_rank")
     )
-    attributes = F.coalesce(F.to_json("attributes"), F.lit("{}"))
-    searched = F.lower(
-        F.concat_ws("\u0001", "name", "context", "significance", F.array_join("aliases", "\u0001"), attributes)
-    )
-    order = [F.col("confidence").desc(), F.col("id")]
-    found = rows_of_queries(nodes, searched, words.rows, ["id", "confidence"], order, 3 * limit)
-    found = found.select("query_id", "id", F.col("place").alias("word_rank"))
+    found = _found_in(found, "semantic")
     lows = queries.select("query_id", F.lower("text").alias("query_low"))
     merged = near.join(found, ["query_id", "id"], "full_outer").join(lows, "query_id").join(nodes.drop("embedding"), "id")
     is_near = F.col("near_rank").isNotNull()
@@ -234,18 +277,11 @@ def node_hits(queries: DataFrame, words: Words, nodes: DataFrame, as_of, limit:
     )
 
 
-def episode_hits(
-    queries: DataFrame, words: Words, episodes: DataFrame, as_of, limit: int, match_topics: bool = False
-) -> DataFrame:
+def episode_hits(queries: DataFrame, found: DataFrame, episodes: DataFrame, as_of, limit: int) -> DataFrame:
     near = knn(queries, episodes, 2 * limit, 0.25).select(
         "query_id", F.col("item_id").alias("id"), "similarity", F.col("rank").alias("near_rank")
     )
-    fields = ["summary", "narrative"]
-    topics = [F.array_join("topics", "\u0001")] if match_topics else []
-    searched = F.lower(F.concat_ws("\u0001", *[F.col(c) for c in fields], *topics))
-    order = [F.col("importance_score").desc(), F.col("id")]
-    found = rows_of_queries(episodes, searched, words.rows, ["id", "importance_score"], order, 2 * limit)
-    found = found.select("query_id", "id", F.col("place").alias("word_rank"))
+    found = _found_in(found, "episode")
     lows = queries.select("query_id", F.lower("text").alias("query_low"))
     merged = (
         near.join(found, ["query_id", "id"], "full_outer").join(lows, "query_id")
@@ -261,12 +297,9 @@ def episode_hits(
     )
 
 
-def search_lessons(words: Words, lessons: DataFrame, as_of, limit: int) -> DataFrame:
-    searched = F.lower(F.concat_ws("\u0001", "statement", "prevention_rule"))
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "important", 1).otherwise(2)
-    order = [rank, F.col("times_reinforced").desc(), F.col("id")]
-    found = rows_of_queries(lessons, searched, words.rows, ["id", "severity", "times_reinforced"], order, limit).select("query_id", "id")
-    found = found.join(lessons, "id").join(words.lows, "query_id")
+def lesson_hits(found: DataFrame, words: Words, lessons: DataFrame, as_of) -> DataFrame:
+    rank = _severity_rank()
+    found = _found_in(found, "lesson").join(lessons, "id").join(words.lows, "query_id")
     return _hit(
         found, "lesson", 2, F.lit(0), content=lesson_content(),
         text_match=text_match(F.col("query_low"), [F.col("statement"), F.col("prevention_rule")]),
@@ -288,15 +321,8 @@ def search_identity(words: Words, identity: DataFrame) -> DataFrame:
     )
 
 
-def search_procedures(words: Words, procedures: DataFrame, as_of, limit: int) -> DataFrame:
-    searched = F.lower(
-        F.concat_ws(
-            "\u0001", "name", F.to_json("steps"), F.to_json(F.struct(F.col("trigger_phrases").alias("phrases")))
-        )
-    )
-    order = [F.col("confidence").desc(), F.col("id")]
-    found = rows_of_queries(procedures, searched, words.rows, ["id", "confidence"], order, limit).select("query_id", "id")
-    found = found.join(procedures, "id").join(words.lows, "query_id")
+def procedure_hits(found: DataFrame, words: Words, procedures: DataFrame, as_of) -> DataFrame:
+    found = _found_in(found, "procedure").join(procedures, "id").join(words.lows, "query_id")
     ran = F.col("execution_count") > 0
     return _hit(
         found, "procedure", 4, F.lit(0), name=F.col("name"), type=F.col("type"), content=procedure_content(),
@@ -353,10 +379,11 @@ def _contenders(words: Words, prepared: DataFrame, limit: int) -> DataFrame:
     the whole query as a phrase and words close together, bounds the score on both sides; a section whose greatest score is
     below the ``limit``-th of the least ones is out, and only the others fetch their text.
     """
-    lists = posting_lists(prepared, F.col("_low"), words.rows, ["id", "_base"]).withColumn("_head", F.lit(0))
-    in_head = posting_lists(prepared, F.lower("heading"), words.rows, ["id", "_base"]).withColumn("_head", F.lit(1))
+    both = F.array(F.struct(F.lit(0).alias("_head"), F.col("_low").alias("_said")), F.struct(F.lit(1).alias("_head"), F.lower("heading").alias("_said")))
+    rows = prepared.select("id", "_base", F.explode(both).alias("_part")).select("id", "_base", "_part.*")
+    lists = posting_lists(rows, F.col("_said"), words.rows, ["id", "_base", "_head"])
     each = words.rows.select("query_id", "word", F.size(F.filter("words", lambda w: w == F.col("word"))).alias("_times"), F.size("words").alias("_n"))
-    found = lists.unionByName(in_head).join(each, "word").groupBy("query_id", "id", "word").agg(
+    found = lists.join(each, "word").groupBy("query_id", "id", "word").agg(
         F.max("_base").alias("_base"), F.max("_head").alias("_head"), F.max("_times").alias("_times"), F.max("_n").alias("_n")
     )
     found = found.groupBy("query_id", "id").agg(
@@ -551,17 +578,19 @@ def candidate_hits(
     """Union of all branches, with boosts applied, before proximity and fusion."""
     wants = lambda t, *need: (memory_types is None or t in memory_types) and all(n in tables for n in need)
     words = Words(queries)
+    branches = [b for b, table in _TABLES.items() if wants(b, table)]
+    found = keyword_candidates(words, tables, limit, branches) if branches else None
     parts = []
-    if wants("semantic", "nodes"):
-        parts.append(node_hits(queries, words, tables["nodes"], as_of, limit))
-    if wants("episode", "episodes"):
-        parts.append(episode_hits(queries, words, tables["episodes"], as_of, limit))
-    if wants("lesson", "lessons"):
-        parts.append(search_lessons(words, tables["lessons"], as_of, limit))
+    if "semantic" in branches:
+        parts.append(node_hits(queries, found, tables["nodes"], as_of, limit))
+    if "episode" in branches:
+        parts.append(episode_hits(queries, found, tables["episodes"], as_of, limit))
+    if "lesson" in branches:
+        parts.append(lesson_hits(found, words, tables["lessons"], as_of))
     if wants("identity", "identity"):
         parts.append(search_identity(words, tables["identity"]))
-    if wants("procedure", "procedures"):
-        parts.append(search_procedures(words, tables["procedures"], as_of, limit))
+    if "procedure" in branches:
+        parts.append(procedure_hits(found, words, tables["procedures"], as_of))
     if wants("markdown", "sections"):
         parts.append(section_hits(queries, words, tables["sections"], as_of, limit))
     hits = reduce(lambda a, b: a.unionByName(b), parts)

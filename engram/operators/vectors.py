@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators.matching import top_per
+from engram.operators.ordering import places
+from engram.session import use_checkpoints
 
 QUERY_BLOCK = 4096
 PAIR_BLOCK = 2000
@@ -109,101 +111,144 @@ def knn(
     return best.withColumn("rank", rank)
 
 
+def first_above(items: DataFrame, others: DataFrame, threshold: float, item_id: str = "id", other_id: str = "id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(item_id, first_id): the first row of ``others``, by id, with a cosine above the threshold, for items that have one.
+
+    ``others`` travel in blocks in the order of their ids; an item that has found its row meets no further block.
+    """
+    spark = items.sparkSession
+    use_checkpoints(spark)
+    left = items.filter(F.col("embedding").isNotNull()).select(F.col(item_id).alias("item_id"), "embedding")
+    right = others.filter(F.col("embedding").isNotNull()).select(F.col(other_id).alias("first_id"), "embedding")
+    order = places(right.select("first_id").distinct(), ["first_id"]).checkpoint()
+    placed = right.join(order, "first_id")
+    types = [x.schema[c].dataType.simpleString() for x, c in ((left, "item_id"), (right, "first_id"))]
+    found = spark.createDataFrame([], f"item_id {types[0]}, first_id {types[1]}")
+    for lo in range(0, order.count(), block):
+        rows = placed.filter((F.col("place") > lo) & (F.col("place") <= lo + block)).orderBy("place").collect()
+        shared = spark.sparkContext.broadcast(([r["first_id"] for r in rows], _unit([r["embedding"] for r in rows])))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
+            for batch in batches:
+                if len(batch):
+                    above = np.round(_unit(batch["embedding"]) @ matrix.T, 9) > threshold
+                    hit = above.any(axis=1)
+                    first = np.asarray(ids, dtype=object)[above[hit].argmax(axis=1)]
+                    yield pd.DataFrame({"item_id": pd.Series(batch["item_id"].to_numpy(object)[hit], dtype=object), "first_id": pd.Series(first, dtype=object)})
+
+        now = left.join(found, "item_id", "left_anti").mapInPandas(score, f"item_id {types[0]}, first_id {types[1]}")
+        found = found.unionByName(now).checkpoint()
+    return found
+
+
+def _pivots(vectors: DataFrame, count: int, sample: int) -> np.ndarray:
+    """Unit vectors far from each other, out of a bounded sample: they only decide which blocks are compared."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    rows = vectors.filter(square > 0).orderBy(F.xxhash64("embedding"), "embedding").limit(sample).select("embedding").collect()
+    if not rows:
+        return np.zeros((0, 0))
+    unit = _unit([r["embedding"] for r in rows])
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < min(count, len(unit)):
+        far = int(np.argmin(nearest))
+        chosen.append(far)
+        nearest = np.maximum(nearest, unit @ unit[far])
+    return unit[chosen]
+
+
+def _with_angles(vectors: DataFrame, pivots: np.ndarray, key_type: str) -> DataFrame:
+    """(a, embedding, angles): the angle of every vector other than zero to each pivot."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            unit = _unit(batch["embedding"]) if len(batch) else np.zeros((0, 1))
+            real = np.linalg.norm(unit, axis=1) > 0
+            angles = np.arccos(np.clip(unit[real] @ shared.value.T, -1, 1)) if real.any() else np.zeros((0, len(shared.value)))
+            yield batch[real].assign(angles=list(angles))[["a", "embedding", "angles"]]
+
+    return vectors.mapInPandas(measure, f"a {key_type}, embedding array<double>, angles array<double>")
+
+
+def block_pairs(placed: DataFrame, pivots: int, angle: float) -> tuple[DataFrame, DataFrame]:
+    """Blocks with the least and greatest angle to each pivot, and the pairs of blocks (x, y), x <= y, that can hold a close pair.
+
+    Two vectors within ``angle`` of each other differ by no more in their angle to any direction. So two blocks are
+    skipped if their ranges lie further apart for one pivot. Blocks meet by the bands that they cover for the first.
+    """
+    ranges = [F.struct(F.min(F.col("angles")[i]).alias("lo"), F.max(F.col("angles")[i]).alias("hi")) for i in range(pivots)]
+    blocks = placed.groupBy("block").agg(F.count("*").alias("size"), F.array(*ranges).alias("ranges"))
+    band = lambda v: F.floor(v / F.lit(angle)).cast("int")
+    first = F.col("ranges")[0]
+    left = blocks.select(F.col("block").alias("x"), F.col("ranges").alias("rx"), F.explode(F.sequence(band(first["lo"]), band(first["hi"]))).alias("band"))
+    wide = F.sequence(band(F.greatest(first["lo"] - angle, F.lit(0.0))), band(first["hi"] + angle))
+    right = blocks.select(F.col("block").alias("y"), F.col("ranges").alias("ry"), F.explode(wide).alias("band"))
+    apart = F.exists(F.zip_with("rx", "ry", lambda p, q: (p["lo"] > q["hi"] + angle) | (q["lo"] > p["hi"] + angle)), lambda v: v)
+    pairs = left.join(right, "band").filter((F.col("x") <= F.col("y")) & ~apart).select("x", "y").distinct()
+    return blocks, pairs
+
+
 def similar_pairs(
-    rows: DataFrame, threshold: float, key: str = "id", block: int = PAIR_BLOCK
+    df: DataFrame, threshold: float, key: str = "id", block: int = PAIR_BLOCK, pivots: int = 8, sample: int = 2000
 ) -> DataFrame:
-    """Pairs (a, b, similarity) with cosine above ``threshold``, a < b.
-
-    Exact copies of a vector are folded onto their smallest key first: the
-    result lists the pairs of distinct vectors, by that key, and one row
-    (key, copy, 1.0) per further copy, so a large group of copies costs one row
-    each instead of all its pairs. Two vectors within an angle t of each other
-    differ by at most t in their angle to any fixed direction, so only equal and
-    neighbouring bands of that angle are compared, in blocks of bounded size.
+    """All pairs a < b with cosine above ``threshold``: (a, b, similarity). Exact.
+
+    Equal vectors are one row here, with their smallest key, and are compared once; (smallest key, copy) rows
+    tell which keys are members of it, and a pair of smallest keys stands for all pairs between their members. Vectors are put into blocks by their nearest pivot and their angle to the first one; blocks that the
+    angles to the pivots keep apart are never compared (see ``block_pairs``). Zero vectors are similar to nothing but their copies.
     """
-    vectors = rows.filter(F.col("embedding").isNotNull()).select(F.col(key).alias("k"), "embedding")
+    use_checkpoints(df.sparkSession)
+    vectors = df.filter(F.col("embedding").isNotNull()).select(F.col(key).alias("k"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
     first = vectors.groupBy("embedding").agg(F.min("k").alias("a"))
     copies = (
         vectors.join(first, "embedding")
         .filter(F.col("k") != F.col("a"))
         .select("a", F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
     )
-    angle = max(math.acos(max(-1.0, min(1.0, threshold))), 0.01)
-    as_double = F.transform("embedding", lambda v: v.cast("double"))
-    total = F.aggregate(as_double, F.lit(0.0), lambda s, v: s + v)
-    square = F.aggregate(as_double, F.lit(0.0), lambda s, v: s + v * v)
-    cosine_to_ones = total / F.sqrt(square * F.size("embedding"))
-    banded = (
-        first.filter(square > 0)
-        .withColumn("_angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine_to_ones))))
-        .withColumn("_band", F.floor(F.col("_angle") / F.lit(angle + 1e-9)).cast("int"))
-    )
-    counts = {r["_band"]: r["count"] for r in banded.groupBy("_band").count().collect()}
-    chunks = {b: max(1, math.ceil(n / block)) for b, n in counts.items()}
-    bands = range(0, int(math.pi / angle) + 3)
-    chunk_count = F.array(*[F.lit(chunks.get(b, 0)) for b in bands])
-
-    def chunks_in(band):
-        return F.coalesce(F.try_element_at(chunk_count, band + 1), F.lit(0))
-
-    def every(n):
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    mine = F.struct(F.col("_band").alias("band"), F.col("_chunk").alias("chunk"))
-    other = lambda band, c: F.struct(band.alias("band"), c.alias("chunk"))
-    same = F.transform(
-        every(chunks_in(F.col("_band"))),
-        lambda c: F.struct(
-            F.least(mine, other(F.col("_band"), c)).alias("x"),
-            F.greatest(mine, other(F.col("_band"), c)).alias("y"),
-        ),
-    )
-    above = F.transform(
-        every(chunks_in(F.col("_band") + 1)),
-        lambda c: F.struct(mine.alias("x"), other(F.col("_band") + 1, c).alias("y")),
-    )
-    below = F.transform(
-        F.when(F.col("_band") > 0, every(chunks_in(F.col("_band") - 1))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda c: F.struct(other(F.col("_band") - 1, c).alias("x"), mine.alias("y")),
-    )
-    placed = (
-        banded.withColumn(
-            "_chunk", F.pmod(F.xxhash64("a"), chunks_in(F.col("_band")).cast("bigint")).cast("int")
-        )
-        .withColumn("_pair", F.explode(F.concat(same, above, below)))
-        .withColumn("_left", (F.col("_pair.x") == mine))
-        .withColumn("_right", (F.col("_pair.y") == mine))
-        .select(
-            F.col("_pair.x.band").alias("xb"), F.col("_pair.x.chunk").alias("xc"),
-            F.col("_pair.y.band").alias("yb"), F.col("_pair.y.chunk").alias("yc"),
-            "a", "embedding", "_left", "_right",
-        )
-    )
     id_type = vectors.schema["k"].dataType.simpleString()
+    placed, pairs = _placed_pairs(first, threshold, id_type, block, pivots, sample)
+    if placed is None:
+        return copies
+    left = placed.join(pairs, F.col("block") == F.col("x")).select("x", "y", "a", "embedding", F.lit(True).alias("_left"))
+    right = placed.join(pairs, F.col("block") == F.col("y")).filter("x <> y").select("x", "y", "a", "embedding", F.lit(False).alias("_left"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["_left"]]
-        right = group[group["_right"]]
-        if left.empty or right.empty:
+        one = group[group["_left"]]
+        other = one if group["x"].iloc[0] == group["y"].iloc[0] else group[~group["_left"]]
+        if one.empty or other.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        sims = np.round(_unit(left["embedding"]) @ _unit(right["embedding"]).T, 9)
-        left_keys, right_keys = left["a"].to_numpy(), right["a"].to_numpy()
+        sims = np.round(_unit(one["embedding"]) @ _unit(other["embedding"]).T, 9)
         i, j = np.nonzero(sims > threshold)
-        one, two, sim = left_keys[i], right_keys[j], sims[i, j]
-        within = bool((group["_left"] & group["_right"]).all())
-        keep = one < two if within else one != two
-        one, two, sim = one[keep], two[keep], sim[keep]
-        swap = one > two
-        return pd.DataFrame(
-            {"a": np.where(swap, two, one), "b": np.where(swap, one, two), "similarity": sim}
-        )
-
-    pairs = placed.groupBy("xb", "xc", "yb", "yc").applyInPandas(
-        compare, f"a {id_type}, b {id_type}, similarity double"
-    )
-    return pairs.unionByName(copies)
+        a, b, sim = one["a"].to_numpy(object)[i], other["a"].to_numpy(object)[j], sims[i, j]
+        keep = a < b if other is one else a != b
+        a, b, sim = a[keep], b[keep], sim[keep]
+        swap = a > b
+        return pd.DataFrame({"a": pd.Series(np.where(swap, b, a), dtype=object), "b": pd.Series(np.where(swap, a, b), dtype=object), "similarity": sim})
+
+    found = left.unionByName(right).groupBy("x", "y").applyInPandas(compare, f"a {id_type}, b {id_type}, similarity double")
+    return found.unionByName(copies)
+
+
+def _placed_pairs(first: DataFrame, threshold: float, id_type: str, block: int, pivots: int, sample: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Vectors with their block, and the pairs of blocks to compare; None without a vector other than zero."""
+    chosen = _pivots(first, pivots, sample)
+    if not len(chosen):
+        return None, None
+    angle = max(math.acos(max(-1.0, min(1.0, threshold))), 0.01) + 1e-9
+    measured = _with_angles(first.select("a", "embedding"), chosen, id_type)
+    nearest = F.array_position("angles", F.array_min("angles")).cast("int")
+    cells = measured.withColumn("cell", F.struct(nearest.alias("near"), F.floor(F.col("angles")[0] / angle).cast("int").alias("band"))).checkpoint()
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    # neighbours within a cell stay together: chunks are cut along the angle to the nearest pivot, not at random
+    along = F.array_min("angles")
+    bounds = cells.join(F.broadcast(sizes), "cell").groupBy("cell", "chunks").agg(F.percentile_approx(along, F.array(*[F.lit(i / 64) for i in range(1, 64)])).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c < along))
+    spread = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("chunks") / 64)).cast("bigint"))
+    chunk = F.struct(F.floor(at * F.least(F.col("chunks"), F.lit(64)) / 64).cast("int").alias("slice"), spread.cast("int").alias("part"))
+    placed = cells.join(bounds, "cell").withColumn("block", F.struct("cell.near", "cell.band", chunk["slice"].alias("slice"), chunk["part"].alias("part"))).select("a", "embedding", "angles", "block")
+    placed = placed.checkpoint()
+    return placed, block_pairs(placed, len(chosen), angle)[1]
 
 
 def embedding_coverage(rows: DataFrame) -> DataFrame:

@@ -60,11 +60,18 @@ def with_edge_ids(edges: DataFrame) -> DataFrame:
 
 
 def backlog_stage(tables: Tables, keep: Keep):
-    """Texts of rows that still lack a vector, all of them, as a table for the model."""
+    """Vectors that a model has given since are joined back; texts of rows that still lack one, all of them, are a table for the model."""
     if not all("embedding" in tables[t].columns for t in ("episodes", "nodes")):
         return tables, {}
-    backlog = keep(co.embedding_backlog(tables["episodes"], tables["nodes"], limit=None), "backlog")
-    return {**tables, "backlog": backlog}, {"backlog": backlog.agg(F.count("*").alias("embedding_backlog"))}
+    counters, out = {}, dict(tables)
+    if "vectors" in tables:
+        for table, kind in (("episodes", "episode"), ("nodes", "node")):
+            out[table] = keep(co.attach_vectors(tables[table], kind, tables["vectors"]), f"{table}-vectors")
+            before = tables[table].agg(F.count_if(F.col("embedding").isNull()).alias("n"))
+            after = out[table].agg(F.count_if(F.col("embedding").isNull()).alias("m"))
+            counters[f"{table}_embedded"] = _one(before).join(_one(after), "_one").select((F.col("n") - F.col("m")).alias(f"{table}_embedded"))
+    backlog = keep(co.embedding_backlog(out["episodes"], out["nodes"], limit=None), "backlog")
+    return {**out, "backlog": backlog}, {**counters, "backlog": backlog.agg(F.count("*").alias("embedding_backlog"))}
 
 
 def decay_stage(as_of) -> Stage:

@@ -138,16 +138,12 @@ def select_files(
 
 def file_previews(files: DataFrame, done: DataFrame, batch: int = 5) -> DataFrame:
     """Heading lines and opening text of files not ingested yet, in numbered batches."""
-    from engram.operators.ordering import running_index
+    from engram.operators.ordering import places
 
     left = files.join(done.select("name").distinct(), "name", "left_anti")
     headers = F.array_join(
         F.slice(F.filter(F.split("content", "\n"), lambda line: line.startswith("#")), 1, 15), "\n"
     )
     text = F.concat(F.lit("HEADERS:\n"), headers, F.lit("\n\nPREVIEW:\n"), F.substring("content", 1, 500))
-    # the first character of the path cuts the ordering into chunks
-    ordered = running_index(
-        left.select("path", "name", text.alias("preview")).withColumn("_all", F.lit(1)),
-        ["_all"], ["path"], F.substring("path", 1, 12),
-    )
-    return ordered.withColumn("batch", F.floor((F.col("position") - 1) / batch)).drop("_all")
+    ordered = places(left.select("path", "name", text.alias("preview")), ["path"], "position")
+    return ordered.withColumn("batch", F.floor((F.col("position") - 1) / batch))

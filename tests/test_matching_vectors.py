@@ -137,3 +137,37 @@ def test_sections_that_contend_are_enough(spark):
     every = sorted((x["query_id"], -x["t"], x["id"]) for x in scored.select("query_id", "id", total.alias("t")).collect())
     want = {(q, i, -t) for _, group in itertools.groupby(every, key=lambda x: x[0]) for q, t, i in list(group)[:4]}
     assert got == want
+
+
+def test_blocks_of_clusters_are_skipped(spark):
+    """Clustered vectors: most pairs of blocks are never compared. Random ones: none may be lost."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 24))
+    clustered = np.concatenate([c + 0.05 * rng.normal(size=(40, 24)) for c in centres])
+    for m, most in ((clustered, 0.3), (rng.normal(size=(480, 24)), 1.0)):
+        items = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(len(m))], "id long, embedding array<double>")
+        unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+        sims = np.round(unit @ unit.T, 9)
+        for threshold in (0.92, 0.5):
+            want = sorted((int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sims > threshold, 1)), strict=True))
+            got = sorted((r["a"], r["b"]) for r in v.similar_pairs(items, threshold, block=20).collect())
+            assert got == want
+        first = items.select(F.col("id").alias("a"), "embedding")
+        placed, pairs = v._placed_pairs(first, 0.92, "bigint", 20, 8, 2000)
+        blocks = placed.select("block").distinct().count()
+        assert pairs.count() <= most * blocks * (blocks + 1) / 2
+
+
+def test_first_above_takes_the_first_id(spark):
+    items, m = _vectors(spark)
+    others = items.select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), "embedding")
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    sims = np.round(unit @ unit.T, 9)
+    rows = [i for i in range(len(m)) if i != 7]
+    want = {}
+    for i in rows:
+        close = [j for j in rows if sims[i, j] > 0.5]
+        if close:
+            want[i] = f"{close[0]:03d}"
+    got = {r["item_id"]: r["first_id"] for r in v.first_above(items, others, 0.5, block=9).collect()}
+    assert got == want
