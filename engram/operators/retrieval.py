@@ -593,9 +593,10 @@ def candidate_hits(
         parts.append(procedure_hits(found, words, tables["procedures"], as_of))
     if wants("markdown", "sections"):
         parts.append(section_hits(queries, words, tables["sections"], as_of, limit))
-    hits = reduce(lambda a, b: a.unionByName(b), parts)
+    # a branch has a bounded number of rows per query; written one by one, each is planned on its own
+    hits = reduce(lambda a, b: a.unionByName(b), [p.checkpoint() for p in parts])
     if wants("semantic", "nodes", "edges"):
-        boosts = routing_boosts(queries, tables["nodes"], tables["edges"])
+        boosts = routing_boosts(queries, tables["nodes"], tables["edges"]).checkpoint()
         return apply_boosts(hits, boosts, tables["nodes"], as_of)
     return hits.withColumn("routed", F.lit(False))
 
