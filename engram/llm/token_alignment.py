@@ -18,6 +18,7 @@ of which is frequent, meet their counts in a join.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -78,6 +79,9 @@ class Aligner:
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         split = json.loads(a_json).get("pre_tokenizer") or {}
         by_pattern = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        decimal = lambda n, mark: np.array([f"{i}{mark}" for i in range(n)], dtype=object)
+        self.a_comma, self.a_bar = (decimal(len(self.a_bytes), m) for m in ",|")
+        self.b_comma, self.b_end = (decimal(len(self.b_bytes), m) for m in ",;")
         self.dtype = np.uint16 if max(len(entries), len(pieces)) <= 1 << 16 else np.int32
         self.by_segment = by_pattern and not any(BLANK in p.lstrip(BLANK) for p in pieces)
         self.known: dict[str, int] = {}
@@ -90,6 +94,31 @@ class Aligner:
         self.a_ids: list[bytes] = []
         self.b_ids: list[bytes] = []
         self.n_groups: list[int] = []
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the segments that came more than once, as far as they are no more than half of what may be known."""
+        uses = np.zeros(len(self.good), np.int64)
+        uses[: len(self.uses)] = self.uses
+        least = max(2, int(np.partition(uses, -(KNOWN // 2))[-(KNOWN // 2)]) + 1 if len(uses) > KNOWN // 2 else 2)
+        keep = [(s, k) for s, k in self.known.items() if uses[k] >= least and len(s) <= LONGEST]
+        held = [(self.good[k], self.a_ids[k], self.b_ids[k], self.groups[k], self.n_groups[k]) for _, k in keep]
+        self._clear()
+        self._remember([s for s, _ in keep], held)
+
+    def _remember(self, segments: list[str], learned: list[tuple]) -> None:
+        for segment, (good, a, b, groups, n) in zip(segments, learned, strict=True):
+            self.known[segment] = len(self.good)
+            self.good.append(good)
+            self.a_ids.append(a)
+            self.b_ids.append(b)
+            self.groups.append(groups)
+            self.n_groups.append(n)
+
+    def used(self, numbers: list[list[int]]) -> None:
+        counts = np.bincount([k for found in numbers for k in found], minlength=len(self.good))
+        counts[: len(self.uses)] += self.uses
+        self.uses = counts
 
     def segments(self, text: str) -> list[str]:
         """Parts of a text without the blank that each starts with."""
@@ -100,61 +129,91 @@ class Aligner:
         return [s[1:] for s in _CUT.split(" " + text)]
 
     def learn(self, segments: list[str]) -> list[tuple]:
-        """(good, A ids, B ids, groups as text, number of groups) of each segment."""
-        first = self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)
+        """(good, A ids, B ids, groups as text, number of groups) of each segment; every group ends with a semicolon."""
+        texts = [" " + s for s in segments]
+        first = self.a.encode_batch(texts, add_special_tokens=False)
         second = self.b.encode(segments, return_type="proto", num_threads=1)
-        return [self._align(" " + s, x, y) for s, x, y in zip(segments, first, second, strict=True)]
-
-    def _align(self, text: str, first, second) -> tuple:
-        data = text.encode("utf-8", "surrogatepass")
-        a, b = first.ids, [p.id for p in second.pieces]
-        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
-            return False, b"", b"", "", 0
-        place = None
-        if len(data) != len(text):  # byte position of every code point
-            place = np.concatenate(([0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text]))).tolist()
-        a_spans = first.offsets if place is None else [(place[s], place[e]) for s, e in first.offsets]
-        # B's spans are of the text without the blank before it
-        a_ends = _cuts(a_spans, [len(self.a_bytes[i]) for i in a])
-        b_ends = _cuts([(p.begin + 1, p.end + 1) for p in second.pieces], [len(self.b_bytes[i]) for i in b])
-        groups, i, j = [], 0, 0
-        for cut in sorted(set(a_ends).intersection(b_ends)):
-            to_i, to_j = a_ends.index(cut, i) + 1, b_ends.index(cut, j) + 1
-            groups.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
-            i, j = to_i, to_j
-        return True, np.array(a, self.dtype).tobytes(), np.array(b, self.dtype).tobytes(), ";".join(groups), len(groups)
+        a_lists, b_pieces = [x.ids for x in first], [list(x.pieces) for x in second]
+        b_lists = [[p.id for p in pieces] for pieces in b_pieces]
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        good = [
+            b"".join([self.a_bytes[i] for i in a]) == d and b"".join([self.b_bytes[i] for i in b]) == d
+            for a, b, d in zip(a_lists, b_lists, data, strict=True)
+        ]
+        at = [k for k, ok in enumerate(good) if ok]
+        out: list[tuple] = [(False, b"", b"", "", 0)] * len(segments)
+        if at:
+            spans = [first[k].offsets for k in at]
+            ends = [[p.end for p in b_pieces[k]] for k in at]
+            for k, found in zip(at, self._grouped([texts[k] for k in at], [a_lists[k] for k in at], spans, [b_lists[k] for k in at], ends), strict=True):
+                out[k] = found
+        return out
+
+    def _grouped(self, texts: list[str], a_lists, spans, b_lists, b_ends) -> list[tuple]:
+        """The same for segments whose tokens give back their bytes, all of them at once."""
+        flat = lambda lists: np.fromiter((x for some in lists for x in some), np.int64)
+        starts = lambda sizes: np.concatenate(([0], np.cumsum(sizes)))
+        n_a, n_b = np.array([len(x) for x in a_lists]), np.array([len(x) for x in b_lists])
+        a, b = flat(a_lists), flat(b_lists)
+        # the byte at which every code point of all texts begins
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        place = starts(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
+        chars = starts([len(t) for t in texts])
+        begins = place[chars]
+        ends = np.array([e for some in spans for e in some], np.int64).reshape(-1, 2) + np.repeat(chars[:-1], n_a)[:, None]
+        a_cuts = _cuts(place[ends[:, 0]], place[ends[:, 1]], self.a_len[a])
+        # B's spans are of the text without the blank before it, and each begins where the one before ended
+        b_to = flat(b_ends) + 1 + np.repeat(begins[:-1], n_b)
+        b_from = np.concatenate(([0], b_to[:-1]))
+        head = starts(n_b)[:-1]
+        b_from[head[n_b > 0]] = begins[:-1][n_b > 0]
+        b_cuts = _cuts(b_from, b_to, self.b_len[b])
+        both = np.zeros(int(begins[-1]) + 1, np.uint8)
+        both[a_cuts] |= 1
+        both[b_cuts] |= 2
+        cut = both == 3
+        group = np.cumsum(cut)  # groups that end up to a byte
+        a_last, b_last = cut[a_cuts], cut[b_cuts]
+        a_group, b_group = group[a_cuts] - a_last, group[b_cuts] - b_last
+        written = np.concatenate([np.where(a_last, self.a_bar[a], self.a_comma[a]), np.where(b_last, self.b_end[b], self.b_comma[b])])
+        side = np.concatenate([a_group * 2, b_group * 2 + 1])
+        order = np.argsort(side, kind="stable")
+        written = written[order].tolist()
+        words = starts(n_a + n_b).tolist()
+        groups = np.diff(group[begins]).tolist()
+        a_raw, b_raw = a.astype(self.dtype).tobytes(), b.astype(self.dtype).tobytes()
+        size = self.dtype().itemsize
+        a_at, b_at = (starts(n_a) * size).tolist(), (starts(n_b) * size).tolist()
+        return [
+            (True, a_raw[a_at[k] : a_at[k + 1]], b_raw[b_at[k] : b_at[k + 1]], "".join(written[words[k] : words[k + 1]]), groups[k])
+            for k in range(len(texts))
+        ]
 
     def look_up(self, parts: list[list[str]]) -> list[list[int]]:
         """Numbers of the segments of several texts; they hold until the next call."""
         known = self.known
         fresh = list(dict.fromkeys(p for text in parts for p in text if p not in known))
         if len(known) + len(fresh) > KNOWN:
-            self._clear()
-            fresh = list(dict.fromkeys(p for text in parts for p in text))
+            self._forget()
+            fresh = list(dict.fromkeys(p for text in parts for p in text if p not in known))
         for lo in range(0, len(fresh), 2000):
             some = fresh[lo : lo + 2000]
-            for segment, (good, a, b, groups, n) in zip(some, self.learn(some), strict=True):
-                known[segment] = len(self.good)
-                self.good.append(good)
-                self.a_ids.append(a)
-                self.b_ids.append(b)
-                self.groups.append(groups)
-                self.n_groups.append(n)
-        return [[known[p] for p in text] for text in parts]
+            self._remember(some, self.learn(some))
+        numbers = [[known[p] for p in text] for text in parts]
+        self.used(numbers)
+        return numbers
 
     def forget_long(self) -> None:
-        if any(len(p) > LONGEST for p in self.known):
-            self._clear()
+        if any(len(p) > LONGEST for p in list(self.known)[-5000:]):
+            self._forget()
 
 
-def _cuts(spans, sizes: list[int]) -> list[int]:
-    """Byte positions at which tokens end: the ends of their spans, or where bytes say otherwise those."""
-    ends, at = [], 0
-    for (start, end), size in zip(spans, sizes, strict=True):
-        # a token that is its whole span ends with it; one that is part of a character has only its bytes to go by
-        at = end if start == at and end - start == size else at + size
-        ends.append(at)
-    return ends
+def _cuts(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte positions at which tokens end: the ends of their spans, or what the bytes of all tokens before say.
+
+    A token that is its whole span ends with it; one that is a part of a character has only its bytes to go by.
+    """
+    return np.where(ends - begins == sizes, ends, np.cumsum(sizes))
 
 
 class _Shared:
@@ -193,17 +252,22 @@ def _tokenised(shared: _Shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = shared.aligner()
-        for batch in batches:
-            rows, ids, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= SLICE):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                yield _token_rows(aligner, rows[lo:hi], ids[lo:hi], texts[lo:hi])
-                aligner.forget_long()
-                lo = hi
+        # millions of small lists and tuples without a cycle: looking for cycles among them took a third of the time
+        gc.disable()
+        try:
+            for batch in batches:
+                rows, ids, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+                lo = 0
+                while lo < len(texts):
+                    hi, size = lo, 0
+                    while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= SLICE):
+                        size += len(texts[hi] or "")
+                        hi += 1
+                    yield _token_rows(aligner, rows[lo:hi], ids[lo:hi], texts[lo:hi])
+                    aligner.forget_long()
+                    lo = hi
+        finally:
+            gc.enable()
 
     return run
 
@@ -216,7 +280,7 @@ def _token_rows(aligner: Aligner, rows, ids, texts) -> pa.RecordBatch:
     good, a_ids, b_ids, groups, n_groups = aligner.good, aligner.a_ids, aligner.b_ids, aligner.groups, aligner.n_groups
     for k, found in zip(at, numbers, strict=True):
         if all([good[s] for s in found]):
-            digest = hashlib.sha256(";".join([groups[s] for s in found]).encode()).hexdigest()
+            digest = hashlib.sha256("".join([groups[s] for s in found])[:-1].encode()).hexdigest()
             out[k] = (b"".join([a_ids[s] for s in found]), b"".join([b_ids[s] for s in found]), sum([n_groups[s] for s in found]), digest)
     a, b, n, digest = zip(*out, strict=True) if out else ((), (), (), ())
     return pa.RecordBatch.from_arrays(
