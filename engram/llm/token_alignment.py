@@ -129,64 +129,70 @@ class Aligner:
         return [s[1:] for s in _CUT.split(" " + text)]
 
     def learn(self, segments: list[str]) -> list[tuple]:
-        """(good, A ids, B ids, groups as text, number of groups) of each segment; every group ends with a semicolon."""
-        texts = [" " + s for s in segments]
-        first = self.a.encode_batch(texts, add_special_tokens=False)
-        second = self.b.encode(segments, return_type="proto", num_threads=1)
-        a_lists, b_pieces = [x.ids for x in first], [list(x.pieces) for x in second]
-        b_lists = [[p.id for p in pieces] for pieces in b_pieces]
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        good = [
-            b"".join([self.a_bytes[i] for i in a]) == d and b"".join([self.b_bytes[i] for i in b]) == d
-            for a, b, d in zip(a_lists, b_lists, data, strict=True)
-        ]
-        at = [k for k, ok in enumerate(good) if ok]
+        """(good, A ids, B ids, groups as text, number of groups) of each segment; every group ends with a semicolon.
+
+        Segments that nothing can join are read as one text. One that ends with white space could run into the
+        next, and is read alone.
+        """
+        alone = [k for k, s in enumerate(segments) if not self.by_segment or not s or s[-1].isspace()]
+        apart = set(alone)
+        rest = [k for k in range(len(segments)) if k not in apart]
         out: list[tuple] = [(False, b"", b"", "", 0)] * len(segments)
-        if at:
-            spans = [first[k].offsets for k in at]
-            ends = [[p.end for p in b_pieces[k]] for k in at]
-            for k, found in zip(at, self._grouped([texts[k] for k in at], [a_lists[k] for k in at], spans, [b_lists[k] for k in at], ends), strict=True):
+        for some in [*([k] for k in alone), rest]:
+            for k, found in zip(some, self._read([segments[k] for k in some]) if some else [], strict=True):
                 out[k] = found
         return out
 
-    def _grouped(self, texts: list[str], a_lists, spans, b_lists, b_ends) -> list[tuple]:
-        """The same for segments whose tokens give back their bytes, all of them at once."""
-        flat = lambda lists: np.fromiter((x for some in lists for x in some), np.int64)
-        starts = lambda sizes: np.concatenate(([0], np.cumsum(sizes)))
-        n_a, n_b = np.array([len(x) for x in a_lists]), np.array([len(x) for x in b_lists])
-        a, b = flat(a_lists), flat(b_lists)
-        # the byte at which every code point of all texts begins
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        place = starts(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
-        chars = starts([len(t) for t in texts])
+    def _read(self, segments: list[str]) -> list[tuple]:
+        """The same for segments that follow each other; where some do not come out as they went in, in halves."""
+        found = self._together(segments)
+        if found is not None:
+            return found
+        if len(segments) == 1:
+            return [(False, b"", b"", "", 0)]
+        middle = len(segments) // 2
+        return self._read(segments[:middle]) + self._read(segments[middle:])
+
+    def _together(self, segments: list[str]) -> list[tuple] | None:
+        """None if the tokens do not give back the bytes, or the end of a segment is not the end of tokens."""
+        text = " " + " ".join(segments)
+        data = text.encode("utf-8", "surrogatepass")
+        first = self.a.encode(text, add_special_tokens=False)
+        pieces = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
+        a = np.array(first.ids, np.int64)
+        b, b_to = np.array(pieces, np.int64).reshape(-1, 2).T
+        if b"".join([self.a_bytes[i] for i in first.ids]) != data or b"".join([self.b_bytes[i] for i, _ in pieces]) != data:
+            return None
+        chars = np.cumsum([0, *(len(s) + 1 for s in segments)])
+        if len(data) == len(text):
+            place = np.arange(len(text) + 1)
+        else:  # the byte at which every code point begins
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            place = np.concatenate(([0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))))
         begins = place[chars]
-        ends = np.array([e for some in spans for e in some], np.int64).reshape(-1, 2) + np.repeat(chars[:-1], n_a)[:, None]
-        a_cuts = _cuts(place[ends[:, 0]], place[ends[:, 1]], self.a_len[a])
+        spans = place[np.array(first.offsets, np.int64).reshape(-1, 2)]
+        a_cuts = _cuts(spans[:, 0], spans[:, 1], self.a_len[a])
         # B's spans are of the text without the blank before it, and each begins where the one before ended
-        b_to = flat(b_ends) + 1 + np.repeat(begins[:-1], n_b)
-        b_from = np.concatenate(([0], b_to[:-1]))
-        head = starts(n_b)[:-1]
-        b_from[head[n_b > 0]] = begins[:-1][n_b > 0]
-        b_cuts = _cuts(b_from, b_to, self.b_len[b])
-        both = np.zeros(int(begins[-1]) + 1, np.uint8)
+        b_cuts = _cuts(np.concatenate(([0], b_to[:-1] + 1)), b_to + 1, self.b_len[b])
+        both = np.zeros(len(data) + 1, np.uint8)
         both[a_cuts] |= 1
         both[b_cuts] |= 2
         cut = both == 3
+        if not cut[begins[1:]].all():
+            return None
         group = np.cumsum(cut)  # groups that end up to a byte
         a_last, b_last = cut[a_cuts], cut[b_cuts]
-        a_group, b_group = group[a_cuts] - a_last, group[b_cuts] - b_last
+        side = np.concatenate([(group[a_cuts] - a_last) * 2, (group[b_cuts] - b_last) * 2 + 1])
         written = np.concatenate([np.where(a_last, self.a_bar[a], self.a_comma[a]), np.where(b_last, self.b_end[b], self.b_comma[b])])
-        side = np.concatenate([a_group * 2, b_group * 2 + 1])
-        order = np.argsort(side, kind="stable")
-        written = written[order].tolist()
-        words = starts(n_a + n_b).tolist()
-        groups = np.diff(group[begins]).tolist()
-        a_raw, b_raw = a.astype(self.dtype).tobytes(), b.astype(self.dtype).tobytes()
-        size = self.dtype().itemsize
-        a_at, b_at = (starts(n_a) * size).tolist(), (starts(n_b) * size).tolist()
+        written = written[np.argsort(side, kind="stable")].tolist()
+        a_at, b_at = np.searchsorted(a_cuts, begins, "right"), np.searchsorted(b_cuts, begins, "right")
+        a_at[0] = b_at[0] = 0
+        words, groups = (a_at + b_at).tolist(), np.diff(group[begins]).tolist()
+        a_raw, b_raw, size = a.astype(self.dtype).tobytes(), b.astype(self.dtype).tobytes(), self.dtype().itemsize
+        a_at, b_at = (a_at * size).tolist(), (b_at * size).tolist()
         return [
             (True, a_raw[a_at[k] : a_at[k + 1]], b_raw[b_at[k] : b_at[k + 1]], "".join(written[words[k] : words[k + 1]]), groups[k])
-            for k in range(len(texts))
+            for k in range(len(segments))
         ]
 
     def look_up(self, parts: list[list[str]]) -> list[list[int]]:
