@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -54,6 +55,7 @@ ASIDE_WORDS = frozenset(
 MAIN_WORDS = frozenset("article articlebody content entry main post postbody story".split())
 ASIDE_TAGS = frozenset("aside button dialog footer form header label legend menu nav option select".split())
 MAIN_TAGS = frozenset("article main".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
 _CLOSED_BY_SAME = frozenset("p li dt dd tr td th option".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -63,16 +65,53 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 @dataclass
 class Block:
-    path: list[str]  # open tags and, with a dot, their class and id words
+    path: list[str]  # open tags and, with a dot, their class and id words: each at most twice, and the innermost part last
     text: str
     linked: int = 0  # code points inside links
     label: float | None = field(default=None)
 
 
+class _Open:
+    """The open elements of a page. What is asked of all of them is kept beside each, so depth costs nothing."""
+
+    def __init__(self):
+        # tag, path parts so far, innermost part, within a skipped element, within a link
+        self.frames: list[tuple[str, tuple[str, ...], str | None, bool, bool]] = []
+        self.counts: Counter[str] = Counter()
+
+    def push(self, tag: str, names: list[str]) -> None:
+        _, path, last, skipped, linked = self.frames[-1] if self.frames else ("", (), None, False, False)
+        if tag in BLOCK_TAGS or tag == "a":
+            new = []
+            for part in (tag, *names):
+                if path.count(part) + new.count(part) < 2:
+                    new.append(part)
+                last = part
+            path = (*path, *new) if new else path
+        self.frames.append((tag, path, last, skipped or tag in SKIPPED_TAGS, linked or tag == "a"))
+        self.counts[tag] += 1
+
+    def cut(self, i: int) -> None:
+        """Ends the element at i and all within it."""
+        for tag, *_ in self.frames[i:]:
+            self.counts[tag] -= 1
+        del self.frames[i:]
+
+    def has(self, tags) -> bool:
+        return any(self.counts[t] for t in tags)
+
+    def innermost(self) -> str | None:
+        return self.frames[-1][0] if self.frames else None
+
+    def end_last(self, tags: frozenset[str]) -> None:
+        if self.has(tags):
+            self.cut(next(i for i in range(len(self.frames) - 1, -1, -1) if self.frames[i][0] in tags))
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page in order, with white space as one space and references decoded."""
+    """The blocks of a page in order, with white space as one space and references decoded. Linear in the page, whatever its depth."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    stack = _Open()
     held: list[str] = []
     linked = 0
     at = 0
@@ -80,26 +119,20 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def close() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join(html.unescape("".join(held)).split()) if held else ""
         if text:
-            path = [p for tag, names in stack if tag in BLOCK_TAGS or tag == "a" for p in (tag, *names)]
-            out.append(Block(path, text, linked))
+            _, path, last, *_ = stack.frames[-1] if stack.frames else ("", (), None)
+            out.append(Block([*path, last] if last is not None else [], text, linked))
         held.clear()
         linked = 0
 
-    def end_from(tags: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                break
-
     def said(text: str) -> None:
         nonlocal linked
-        if stack and stack[-1][0] == "head" and text.strip():
-            stack.pop()  # head holds no text: the body begins
-        if text and not any(tag in SKIPPED_TAGS for tag, _ in stack):
+        if stack.innermost() == "head" and text.strip():
+            stack.cut(len(stack.frames) - 1)  # head holds no text: the body begins
+        if text and not (stack.frames and stack.frames[-1][3]):
             held.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if stack.frames and stack.frames[-1][4]:
                 linked += len(text.strip())
 
     while True:
@@ -115,60 +148,81 @@ def blocks_of(page: str | None) -> list[Block]:
         tag = tag.lower()
         if not slash:
             # what cannot lie in an open head, svg or math ends it
-            if tag in BREAKOUT_TAGS and stack and not any(t in ("foreignobject", "desc", "annotation-xml") for t, _ in stack):
-                end_from(frozenset(("svg", "math")))
-            if tag == "body" or stack and stack[-1][0] == "head" and tag not in HEAD_TAGS | {"head", "html"}:
-                end_from(frozenset(("head",)))
+            if tag in BREAKOUT_TAGS and not stack.has(("foreignobject", "desc", "annotation-xml")):
+                stack.end_last(frozenset(("svg", "math")))
+            if tag == "body" or stack.innermost() == "head" and tag not in HEAD_TAGS | {"head", "html"}:
+                stack.end_last(frozenset(("head",)))
         if tag == "br":
             said(" ")
             continue
         if tag in BLOCK_TAGS or tag in SKIPPED_TAGS:
             close()
         if slash:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in MAIN_TAGS | ASIDE_TAGS and tag not in BLOCK_TAGS:
-                    break
+            if stack.counts[tag]:
+                for i in range(len(stack.frames) - 1, -1, -1):
+                    if stack.frames[i][0] == tag:
+                        stack.cut(i)
+                        break
+                    if stack.frames[i][0] in MAIN_TAGS | ASIDE_TAGS and tag not in BLOCK_TAGS:
+                        break
             continue
         if tag in VOID_TAGS or rest.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in BLOCK_TAGS and tag != "title":
+        if tag in BLOCK_TAGS and tag != "title" and (stack.counts["p"] or tag in _CLOSED_BY_SAME and stack.counts[tag]):
             # an open paragraph ends here, with what is open in it; so does an item of the same kind
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or tag in _CLOSED_BY_SAME and stack[i][0] == tag:
-                    del stack[i:]
+            for i in range(len(stack.frames) - 1, -1, -1):
+                if stack.frames[i][0] == "p" or tag in _CLOSED_BY_SAME and stack.frames[i][0] == tag:
+                    stack.cut(i)
                     break
-                if stack[i][0] in BLOCK_TAGS or stack[i][0] == "foreignobject":
+                if stack.frames[i][0] in BLOCK_TAGS or stack.frames[i][0] == "foreignobject":
                     break
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         names = [f".{w.lower()}" for g in _NAMED.findall(rest) for w in _PARTS.findall(g[0] or g[1] or g[2])] if rest else []
-        stack.append((tag, names))
+        stack.push(tag, names)
     close()
     return out
 
 
-def rule_label(path: list[str]) -> float | None:
-    """What tags and class words say: 1 main text, 0 something else, None nothing."""
-    names = [(p[1:], True) if p.startswith(".") else (p, False) for p in path]
-    if any(n in ASIDE_WORDS if word else n in ASIDE_TAGS for n, word in names):
+def _is_main(part: str) -> bool:
+    return part[1:] in MAIN_WORDS if part.startswith(".") else part in MAIN_TAGS
+
+
+def rule_label(path: list[str], outer: int = 0) -> float | None:
+    """What tags and class words say: 1 main text, 0 something else, None nothing. The first ``outer`` parts say nothing of asides."""
+    if any(p[1:] in ASIDE_WORDS if p.startswith(".") else p in ASIDE_TAGS for p in path[outer:]):
         return 0.0
-    return 1.0 if any(n in MAIN_WORDS if word else n in MAIN_TAGS for n, word in names) else None
+    return 1.0 if any(map(_is_main, path)) else None
+
+
+def rule_labels(blocks: list[Block]) -> list[float | None]:
+    """``rule_label`` of the blocks of a page.
+
+    A page of which nothing would be main text may lie in one form, or bear a word such as with-sidebar
+    on an outer element: there, what all of its main blocks lie in (without any, all of its blocks) says nothing of asides.
+    """
+    labels = [rule_label(b.path) for b in blocks]
+    if 1.0 in labels or 0.0 not in labels:
+        return labels
+    inner = [b.path[:-1] for b in blocks if any(map(_is_main, b.path))] or [b.path[:-1] for b in blocks]
+    outer = 0
+    for parts in zip(*inner):
+        if len(set(parts)) > 1 or _is_main(parts[0]):
+            break
+        outer += 1
+    return [rule_label(b.path, outer) for b in blocks]
 
 
 def _slot(prefix: str, name: str, size: int) -> int:
     return zlib.crc32(f"{prefix}{name}".encode("utf-8", "surrogatepass")) % size
 
 
-def encode_block(block: Block, before: int, total: int) -> tuple[list[int], list[int], list[float]]:
-    """Path slots, word slots and shape numbers of a block."""
+def encode_block(block: Block, before: int, total: int, known: float | None) -> tuple[list[int], list[int], list[float]]:
+    """Path slots, word slots and shape numbers of a block; ``known`` is what the rule says."""
     path = block.path
     slots = [_slot("", p, PATHS) for p in dict.fromkeys(path)] + [_slot("last ", p, PATHS) for p in path[-1:]]
-    known = rule_label(path)
     words = block.text.lower().split()
     marks = sum(c in ".!?;:," for c in block.text)
     shape = [
@@ -179,7 +233,7 @@ def encode_block(block: Block, before: int, total: int) -> tuple[list[int], list
 
 
 def encode_page(blocks: list[Block]):
-    return [encode_block(b, i, len(blocks)) for i, b in enumerate(blocks)]
+    return [encode_block(b, i, len(blocks), known) for i, (b, known) in enumerate(zip(blocks, rule_labels(blocks), strict=True))]
 
 
 def _sigmoid(x):
@@ -380,10 +434,10 @@ def fit_labeller(pages: DataFrame, sample: int = SAMPLE, html_col: str = "html")
     total = rows.count()
     taken = rows.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample / max(total, 1)))
     learned = []
-    for r in sorted({r["html"] for r in taken.limit(4 * sample).collect()}):
+    for r in sorted({r["html"] for r in taken.orderBy(F.xxhash64("html"), "html").limit(4 * sample).collect()}):
         blocks = blocks_of(r)
-        for b in blocks:
-            b.label = rule_label(b.path)
+        for b, label in zip(blocks, rule_labels(blocks), strict=True):
+            b.label = label
         if any(b.label == 1.0 for b in blocks):
             learned.append(blocks)
     if not learned:
