@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from engram.llm.scratch import Scratch
 from engram.operators.ordering import running_index
 
-WIDTHS = (8, 24)  #: turn-id columns of the first block, and of all others
+WIDTHS = (8, 16)  #: turn-id columns of the first block, and of all others
 SHARED, HEADS = 5, 9
 HEAVY = 1000  #: nodes with one member in so many are looked up by broadcast: at most so many a level
 ORDER_CHUNK = 4096
@@ -227,6 +227,7 @@ def conversation_trie(
         live = rows.filter("goes_on and not alone").select("conv_id", F.col("last").alias("node"), "length", F.expr(f"p[{width}]").alias("base"))
         blocks.append((block, start, width))
         scratch.drop(f"nodes-{k}", f"rows-{k}")
+        scratch.tidy()
         start, k = start + width, k + 1
 
     def union(frames: list[DataFrame]) -> DataFrame:
@@ -250,10 +251,13 @@ def conversation_trie(
         # the members of a node have its bytes in common
         before = "CASE d " + " ".join(f"WHEN {j} THEN p{j - 1}" for j in range(1, width + 1)) + " ELSE 0 END"
         rolled = _rollup(block.join(facts, "conv_id"), width, f"{sums}, {upto}").filter(F.col("d") >= (1 if k else 0))
-        found.append(rolled.selectExpr(
+        rolled = rolled.selectExpr(
             "conv_id", f"d + {at} AS depth", f"CASE WHEN d + {at} = 0 THEN {_NO} WHEN d + {at} > s THEN conv_id ELSE parent END AS parent_conv_id",
             "n_convs", "n_leaves", f"all_shared - own_shared - (n_convs - 1) * ({before}) AS saved_tokens", "own_length",
-        ))
+        )
+        found.append(scratch.keep(rolled, f"trie-{k}"))
+        scratch.drop(f"block-{k}")
+        scratch.tidy()
     chunks = tails.withColumn("lo", F.explode(F.sequence(F.col("upto") + 1, F.col("length"), F.lit(TAIL_CHUNK))))
     alone = chunks.withColumn("depth", F.explode(F.sequence("lo", F.least(F.col("lo") + TAIL_CHUNK - 1, F.col("length")))))
     found.append(alone.selectExpr(
@@ -271,5 +275,5 @@ def conversation_trie(
             F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"),
         ), "result",
     )
-    scratch.drop("numbered", "convs", "turns", "facts", *(f"block-{i}" for i in range(len(blocks))), *(f"found-{i}" for i in range(len(blocks))))
+    scratch.drop("numbered", "convs", "turns", "facts", *(f"{name}-{i}" for name in ("trie", "found") for i in range(len(blocks))))
     return result
