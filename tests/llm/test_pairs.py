@@ -184,3 +184,24 @@ def test_leaks_equal_brute_force(spark):
     assert len(counts) == len(docs) and sum(r["n_items"] for r in counts) == len(want)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(df, empty).count() == 0 and find_leaks(df.limit(0), bench).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Rows with one id and different texts are different documents; rows that repeat are one; nothing else is lost."""
+    from engram.llm.jaccard_join import without_near_duplicates
+
+    rng = random.Random(12)
+    a, b, c = text(rng, 80), text(rng, 80), text(rng, 80)
+    near = " ".join(edited(rng, a.split(), 1))
+    rows = [
+        (1, a, "x"), (1, b, "x"), (2, c, "x"), (3, near, "x"), (4, c, "y"), (1, a, "w"), (5, None, "x"), (5, None, "x"), (6, "", "x"),
+        (None, a, "x"), (None, None, "x"), (7, " ".join(edited(rng, b.split(), 1)), "x"), (8, text(rng, 60), "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "3 as digest", "4 as component").repartition(4)
+    want = [(1, a, "w"), (1, b, "x"), (2, c, "x"), (5, None, "x"), (6, "", "x"), (None, a, "x"), (None, None, "x"), (8, rows[-1][1], "x")]
+    order = lambda found: sorted(found, key=str)
+    for removed in (1000, 0):
+        got = without_near_duplicates(df, removed=removed)
+        assert got.columns == df.columns
+        assert order((r["doc_id"], r["text"], r["lang"]) for r in got.collect()) == order(want)
+    assert without_near_duplicates(df.limit(0)).collect() == []
